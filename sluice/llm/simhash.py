@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.components import components
-from sluice.llm.shared import Scratch, Table
+from sluice.llm.shared import Scratch, Table, importable
 
 SHINGLE_WORDS = 4
 MAX_DISTANCE = 4
@@ -56,6 +56,7 @@ def _fingerprints(n: int):
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE_WORDS) -> DataFrame:
     """Rows (id, fp): the fingerprint of each whole text as a signed long. A null text has no words."""
+    importable(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("binary").alias("text"))
     return rows.mapInArrow(_fingerprints(n), "id long, fp long")
 
@@ -95,21 +96,25 @@ def segments_for(rows: int, distance: int = MAX_DISTANCE) -> int:
     return min(range(2, max(3, distance + 2)), key=cost)
 
 
-def _entries(reps: DataFrame, plan: list[tuple[int, int, int]]) -> DataFrame:
-    """Rows (key, fp): each fingerprint at home in the table of each segment, and at the larger values of its Hamming ball.
-
-    Of two different segment values only the smaller looks for the larger, so no pair is met twice in a table.
+def _entries(plan: list[tuple[int, int, int]]):
+    """Arrow function from (fp) to (key, fp): each fingerprint at home in the table of each segment, and at the larger
+    values of its Hamming ball there. Of two segment values only the smaller looks for the larger, so no pair meets twice in a table.
     """
-    sides = []
-    for i, (shift, width, radius) in enumerate(plan):
-        value = F.shiftrightunsigned("fp", shift).bitwiseAND((1 << width) - 1)
-        mark = i << 40
-        keys = F.array(value)
-        if masks := _ball(width, radius):
-            around = F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m, v=value: v.bitwiseXOR(m))
-            keys = F.concat(keys, F.filter(around, lambda k, v=value: k > v))
-        sides.append(F.transform(keys, lambda k, m=mark: k.bitwiseOR(F.lit(m).cast("long"))))
-    return reps.select("fp", F.explode(F.concat(*sides)).alias("key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for i, (shift, width, radius) in enumerate(plan):
+                value = ((fps.view(np.uint64) >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.int64)
+                keys, owners = [value], [fps]
+                for mask in _ball(width, radius):
+                    other = value ^ mask
+                    larger = other > value
+                    keys.append(other[larger])
+                    owners.append(fps[larger])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) | (i << 40)), pa.array(np.concatenate(owners))], names=["key", "fp"])
+
+    return run
 
 
 def _links_in(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -225,9 +230,9 @@ def _link(reps: Table, scratch: Scratch, distance: int, n_segments: int | None,
     spark = reps.spark
     rows = reps.read().count()
     plan = segment_plan(n_segments or segments_for(rows, distance), distance)
-    entries = _entries(reps.read(), plan)
-    dealt = _buckets(entries, scratch, block)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / 50_000))
+    entries = reps.read().select("fp").repartition(parts, "fp").mapInArrow(_entries(plan), "key long, fp long")
+    dealt = _buckets(entries, scratch, block)
     sorted_rows = dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "fp")
     return components(spark, sorted_rows.mapInArrow(_verify(distance), "u long, v long"), scratch)
 

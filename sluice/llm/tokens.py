@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm.shared import importable
+
 #: Characters that go to the tokenizer at once, and the length from which a text is cut.
 BATCH_CHARS = 1 << 19
 CUT_CHARS = 1 << 16
@@ -97,6 +99,7 @@ def token_counts(
     Null text: counts as empty, zero bytes and tokens. Null and repeated ids keep their rows. An empty table gives
     an empty result; other columns are not read. ``tokenizer_path`` is a file that every executor has.
     """
+    importable(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     counted = rows.mapInArrow(_counter(tokenizer_path, batch_chars, cut_chars), "id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
