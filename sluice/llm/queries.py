@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import simhash, tokens
+from sluice.llm import decontaminate, quality, sharding, simhash, tokens, urlfilter
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -23,6 +23,37 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality measures and verdicts of all documents."""
+    found = quality.quality(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in all documents."""
+    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontaminate.digest(found).withColumnRenamed("id", "doc_id")
+
+
+def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents on 40 shards, numbers of rows at most one apart."""
+    found = sharding.shard(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def listed_urls(pages: DataFrame) -> DataFrame:
+    """The list of the query: URLs of the tables whose first host label names adult content."""
+    label = F.regexp_extract(urlfilter.host(F.col("url")), r"^(?:www\.|m\.|blog\.)?([^.]*)", 1)
+    return pages.where(label.startswith("adult")).select("url")
+
+
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and listed URLs over all pages."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    found = urlfilter.judge(pages, listed_urls(pages))
+    return found.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of all documents."""
     found = tokens.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
@@ -31,7 +62,100 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op3_quality": op3_quality,
+    "op4_decontaminate": op4_decontaminate,
+    "op7_shards": op7_shards,
+    "op8_urls": op8_urls,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+_STOP = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
+
+OP3_SQL = f"""
+with split as (
+  select doc_id, coalesce(text, '') as t from documents
+), parts as (
+  select doc_id, t,
+    regexp_extract_all(t, '[^ \\t-\\r]+') as w,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \\t-\\r]')) as l
+  from split
+), windows as (
+  select doc_id, i, w[i:i+4] as win
+  from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from parts where len(w) >= 5)
+), repeated as (
+  select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, win) as n from windows) where n > 1
+), covered as (
+  select doc_id, count(distinct i + k) as n from repeated, (select unnest(range(5)) as k) group by doc_id
+), base as (
+  select doc_id, len(w) as n_words,
+    coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols,
+    len(l) - len(list_distinct(l)) as n_dup_lines,
+    len(l) as n_lines,
+    len(list_filter(w, lambda x: lower(x) in ({_STOP}))) as n_stop,
+    len(list_filter(l, lambda x: regexp_matches(x, '^[ \\t-\\r]*[-*•]'))) as n_bullet,
+    len(list_filter(l, lambda x: regexp_matches(x, '(\\.\\.\\.|…)[ \\t-\\r]*$'))) as n_ellipsis,
+    coalesce(covered.n, 0) as n_repeat_words
+  from parts left join covered using (doc_id)
+)
+select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols,
+  cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words,
+  (n_words < 10 or 100 * n_repeat_words > 20 * n_words) as base_failed,
+  not (n_words < 10 or 100 * n_repeat_words > 20 * n_words)
+    and word_chars / n_words between 2 and 15 and n_symbols / n_words <= 0.1 and n_stop / n_words >= 0.02
+    and n_dup_lines / n_lines <= 0.5 and n_bullet / n_lines <= 0.9 and n_ellipsis / n_lines <= 0.5 as kept
+from base
+"""
+
+_MATCH_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
+
+OP4_SQL = f"""
+with d as (select doc_id, {_MATCH_WORDS} as w from documents),
+b as (select cast(item_id as varchar) as item, {_MATCH_WORDS} as w from benchmark),
+bw as (
+  select distinct item, n, array_to_string(w[i:i+n-1], ' ') as win
+  from (select item, w, least(len(w), 13) as n, unnest(range(1, len(w) - least(len(w), 13) + 2)) as i from b where len(w) > 0)
+),
+lens as (select distinct n from bw),
+dw as (
+  select doc_id, n, i, array_to_string(w[i:i+n-1], ' ') as win
+  from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, lens where len(w) >= n)
+),
+hits as (select doc_id, i, dw.n, item from dw join bw on dw.win = bw.win and dw.n = bw.n),
+covered as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from (select distinct doc_id, i, n from hits)) group by doc_id),
+items as (select doc_id, count(distinct item) as n_items, array_to_string(list_sort(list(distinct item)), ',') as ids from hits group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join covered using (doc_id) left join items using (doc_id)
+"""
+
+OP8_SQL = r"""
+with u as (
+  select page_id, case when url is null or instr(url, '://') = 0 then '' else substr(url, instr(url, '://') + 3) end as rest from pages
+), s as (
+  select page_id, rest,
+    translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path,
+    list_sort(list_filter(string_split(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' and not regexp_matches(x, '^(utm_[a-z]+|ref|gclid|fbclid)(=|$)'))) as fields
+  from u
+), c as (
+  select *, regexp_replace(regexp_replace(host, '^www\.', ''), ':(80|443)$', '') || regexp_replace(path, '/+$', '')
+      || case when len(fields) > 0 then '?' || array_to_string(fields, '&') else '' end as key,
+    case
+      when (host = 'example.org' or host like '%.example.org') and starts_with(path, '/en/1') then 'example.org/en/1'
+      when (host = 'example.org' or host like '%.example.org') and starts_with(path, '/es/') then 'example.org/es/'
+      when (host = 'com' or host like '%.com') and starts_with(path, '/fr/') then 'com/fr/'
+      when (host = 'com' or host like '%.com') and starts_with(path, '/de/') then 'com/de/'
+      when (host = 'org' or host like '%.org') and starts_with(path, '/') then 'org/'
+    end as rule
+  from s
+), listed as (
+  select distinct key from c where starts_with(regexp_extract(host, '^(?:www\.|m\.|blog\.)?([^.]*)', 1), 'adult') and key <> ''
+)
+select page_id, host, path, rule,
+  case when rule in ('org/', 'com/fr/') then 'allow' when rule is not null then 'block'
+    when listed.key is not null then 'block' else 'allow' end as verdict
+from c left join listed on c.key = listed.key
+""".replace("\\\\", "\\")
+
+ORACLES: dict[str, str] = {"op3_quality": OP3_SQL, "op4_decontaminate": OP4_SQL, "op8_urls": OP8_SQL}
