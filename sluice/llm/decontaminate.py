@@ -125,11 +125,12 @@ def contamination(
     table = windows.read().unionByName(own).select("fp", "at", "n", F.col("words").alias("other"), "items")
     small = windows.bytes() <= broadcast_bytes
     if small:
-        marked = _marks(rows, short, window, gram).select("row", "id", "words", F.explode("marks").alias("mark"))
+        # the outer form: for the inner one Spark adds a filter on the array and pushes it, inlined, below the projections that make it
+        marked = _marks(rows, short, window, gram).select("row", "id", "words", F.explode_outer("marks").alias("mark"))
         met = marked.join(F.broadcast(table), F.col("mark.fp") == F.col("fp")).select("row", "id", "words", F.col("mark.pos").alias("pos"), "at", "n", "other", "items")
     else:
         rows = scratch.save(rows, "words").read()
-        marked = _marks(rows, short, window, gram).select("row", F.explode("marks").alias("mark")).select("row", "mark.fp", "mark.pos")
+        marked = _marks(rows, short, window, gram).select("row", F.explode_outer("marks").alias("mark")).select("row", "mark.fp", "mark.pos")
         near = scratch.save(marked.join(table, "fp").select("row", "pos", "at", "n", "other", "items"), "near")
         met = rows.join(near.read(), "row")
     start = F.col("pos") - F.col("at")
