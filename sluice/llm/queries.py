@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import decontaminate, quality, sharding, simhash, tokens, urlfilter
+from sluice.llm import decontaminate, quality, sharding, simhash, tokens, urlfilter, warc
+from sluice.llm.shared import Scratch
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -23,6 +24,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages through WARC archives in the shared folder and back."""
+    path = Scratch(spark, "archives").new_path("warc")
+    warc.write_archives(_table(spark, sf_dir, "pages"), path)
+    found = warc.read_archives(spark, path)
+    return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality measures and verdicts of all documents."""
     found = quality.quality(_table(spark, sf_dir, "documents"))
@@ -62,6 +71,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_warc": op2_warc,
     "op3_quality": op3_quality,
     "op4_decontaminate": op4_decontaminate,
     "op7_shards": op7_shards,
@@ -158,4 +168,13 @@ select page_id, host, path, rule,
 from c left join listed on c.key = listed.key
 """.replace("\\\\", "\\")
 
-ORACLES: dict[str, str] = {"op3_quality": OP3_SQL, "op4_decontaminate": OP4_SQL, "op8_urls": OP8_SQL}
+OP2_SQL = """
+with p as (select page_id, coalesce(html, '') as h, strlen(coalesce(html, '')) as n, sha1(coalesce(html, '')) as d from pages),
+g as (select d, max(page_id) as first from p where n >= 1000 group by d)
+select page_id, n as payload_bytes, d as payload_digest,
+  case when page_id < first then 'revisit' else 'response' end as record_type,
+  case when page_id < first then first end as refers_to
+from p left join g using (d)
+"""
+
+ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op3_quality": OP3_SQL, "op4_decontaminate": OP4_SQL, "op8_urls": OP8_SQL}
