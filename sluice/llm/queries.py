@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import decontaminate, quality, sharding, simhash, tokens, urlfilter, warc
+from sluice.llm import decontaminate, langid, mixing, quality, sharding, simhash, tokens, urlfilter, warc
 from sluice.llm.shared import Scratch
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -44,6 +44,19 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(found).withColumnRenamed("id", "doc_id")
 
 
+def op5_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their copies and blocks in the flattest mixture that repeats no source over four times."""
+    found = mixing.mixture(_table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents."""
+    docs = _table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.train(docs))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents on 40 shards, numbers of rows at most one apart."""
     found = sharding.shard(_table(spark, sf_dir, "documents"))
@@ -74,6 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_quality": op3_quality,
     "op4_decontaminate": op4_decontaminate,
+    "op5_mixture": op5_mixture,
+    "op6_language": op6_language,
     "op7_shards": op7_shards,
     "op8_urls": op8_urls,
     "op10_token_counts": op10_token_counts,

@@ -11,6 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sluice.llm.components import components
 from sluice.llm.shared import Scratch, Table, importable
@@ -263,8 +264,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
         return kept
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("id"), docs[text_col].cast("binary").alias("text"))
     rows = rows.join(odd.select("keep_id").distinct(), rows["id"].eqNullSafe(F.col("keep_id")), "left_semi")
-    kind = rows.schema["row"].dataType.simpleString()
-    marked = rows.mapInArrow(_with_fingerprint(n), f"row {kind}, id long, fp long").alias("m")
+    schema = T.StructType([rows.schema["row"], T.StructField("id", T.LongType()), T.StructField("fp", T.LongType())])
+    marked = rows.mapInArrow(_with_fingerprint(n), schema)
     chosen = odd.select("keep_id", F.col("fp").alias("keep_fp"))
     hits = marked.join(chosen, marked["id"].eqNullSafe(F.col("keep_id")) & (marked["fp"] == F.col("keep_fp")))
     return kept.unionByName(hits.groupBy("id", "fp").agg(F.first("row").alias("row")).select("row.*"))
