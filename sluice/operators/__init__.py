@@ -1 +1 @@
-
+"""Phases of cleaning, and profiles, as DataFrame transformations."""

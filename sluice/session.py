@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 #: Column names are case sensitive, times are UTC, and the plan is re-optimised from run-time sizes.
@@ -29,3 +32,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, driver_me
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def importable(spark: SparkSession | None = None) -> None:
+    """Lets Python workers import this package from the driver's path, where they have that path."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None:
+        return
+    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    held = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in held:
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, held)])

@@ -1 +1 @@
-
+"""Tables in and out: hardened CSV, row ids and sinks."""

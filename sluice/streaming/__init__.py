@@ -1 +1 @@
-
+"""Correction of streams."""
