@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,7 +21,7 @@ _DIRECTIVES = {
 
 _MONTH_FIRST = ("M/d/yyyy", "M-d-yyyy", "M.d.yyyy")
 _DAY_FIRST = ("d/M/yyyy", "d-M-yyyy", "d.M.yyyy")
-_CLOCKS = ("", " H:m:s", " H:m", " h:m:s a", " h:m a")
+_CLOCKS = (" H:m:s", " H:m", " h:m:s a", " h:m a")
 _FIXED = (
     *("yyyy-M-d", "yyyy/M/d", "yyyy.M.d", "yyyyMMdd"),
     *("MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy", "d MMM yyyy", "d MMMM yyyy", "d-MMM-yyyy", "d-MMM-yy", "MMM yyyy", "MMMM yyyy"),
@@ -69,30 +69,48 @@ def _ladder(dayfirst: bool, yearfirst: bool) -> list[str]:
     return dated
 
 
-def parse(text: Column, formats: Sequence[str] = (), dayfirst: bool = False, yearfirst: bool = False, lenient: bool = True) -> Column:
-    """Text as timestamp_ntz: the given strptime formats in order, ISO with or without zone, common patterns, then pandas.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body has it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    Zoned values become UTC. Relative forms (``today``, a time alone) are no dates. pandas gets only what all
-    patterns have left, as other values reach it as null.
+
+def _clock(text: Column) -> Column:
+    """Seconds since midnight of a time of day; 0 for no text, null for what is none."""
+    times = [F.unix_timestamp(F.try_to_timestamp(F.concat(F.lit("1970-01-01 "), text), F.lit(f"yyyy-MM-dd{c}"))) for c in _CLOCKS]
+    return F.when(text == "", F.lit(0).cast("long")).otherwise(F.coalesce(*times))
+
+
+def _patterns(plain: Column, dayfirst: bool, yearfirst: bool) -> Column:
+    """A date by the ladder, with or without a time of day after it."""
+    clock = r"( \d{1,2}:\d{2}(?::\d{2})?(?: ?[AaPp][Mm])?)$"
+    day = let(F.regexp_replace(plain, clock, ""), lambda t: F.coalesce(*[_try(t, form) for form in _ladder(dayfirst, yearfirst)]))
+    time = F.regexp_replace(F.upper(stripped(F.regexp_extract(plain, clock, 1))), r"(?<=\d)([AP]M)$", " $1")
+    return (day + F.make_interval(secs=let(time, _clock).cast("decimal(18,6)"))).cast("timestamp_ntz")
+
+
+def ladder(text: Column, formats: Sequence[str] = (), dayfirst: bool = False, yearfirst: bool = False) -> Column:
+    """Text as timestamp_ntz: the given strptime formats in order, ISO with or without zone, then common patterns."""
+
+    def read(clean: Column) -> Column:
+        steps = [_try(clean, pattern(f)) for f in formats]
+        steps.append(F.when(clean.rlike(r"^\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{2}.*)?$"), clean.try_cast("timestamp").cast("timestamp_ntz")))
+        plain = F.regexp_replace(clean, r"(?i)(?<=\d)(st|nd|rd|th)\b", "")
+        steps.append(F.when(clean.rlike(r"\d"), let(plain, lambda p: _patterns(p, dayfirst, yearfirst))))
+        return F.coalesce(*steps)
+
+    return let(stripped(text), read)
+
+
+def parse(df: DataFrame, text: Column, out: str, formats: Sequence[str] = (), dayfirst: bool = False, yearfirst: bool = False) -> DataFrame:
+    """Adds the column ``out``: the ladder's value, or what pandas makes of text that the ladder leaves.
+
+    Zoned values become UTC. Relative forms (``today``, a time alone) are no dates. Values that the ladder reads
+    reach pandas as null.
     """
-    clean = stripped(text)
-    plain = F.regexp_replace(clean, r"(?i)(?<=\d)(st|nd|rd|th)\b", "")
-    steps = [_try(clean, pattern(f)) for f in formats]
-    iso = F.when(clean.rlike(r"^\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{2}.*)?$"), clean.try_cast("timestamp").cast("timestamp_ntz"))
-    steps.append(iso)
-    with_clock = F.regexp_extract(plain, r"^(.*?)( \d{1,2}:\d{2}(?::\d{2})?(?: ?[AaPp][Mm])?)?$", 1)
-    date = F.coalesce(*[_try(with_clock, form) for form in _ladder(dayfirst, yearfirst)])
-    clock_text = F.upper(stripped(F.regexp_extract(plain, r"( \d{1,2}:\d{2}(?::\d{2})?(?: ?[AaPp][Mm])?)$", 1)))
-    padded = F.regexp_replace(clock_text, r"(?<=\d)([AP]M)$", " $1")
-    clocks = [F.unix_timestamp(F.try_to_timestamp(F.concat(F.lit("1970-01-01 "), padded), F.lit(f"yyyy-MM-dd{c}"))) for c in _CLOCKS[1:]]
-    seconds = F.when(clock_text == "", F.lit(0).cast("long")).otherwise(F.coalesce(*clocks))
-    joined = (date + F.make_interval(secs=seconds.cast("decimal(18,6)"))).cast("timestamp_ntz")
-    steps.append(F.when(plain.rlike(r"\d"), joined))
-    found = F.coalesce(*steps)
-    if lenient:
-        rest = F.when(found.isNull() & clean.rlike(r"\d{4}|\d[/.\- ]\d") & ~clean.rlike(r"^[\d:. ]*$"), clean)
-        found = F.coalesce(found, _residue(dayfirst, yearfirst)(rest).cast("timestamp_ntz"))
-    return found
+    df = df.withColumns({out: ladder(text, formats, dayfirst, yearfirst), "__clean": stripped(text)})
+    clean = F.col("__clean")
+    rest = F.when(F.col(out).isNull() & clean.rlike(r"\d{4}|\d[/.\- ]\d") & ~clean.rlike(r"^[\d:. ]*$"), clean)
+    return df.withColumn(out, F.coalesce(F.col(out), _residue(dayfirst, yearfirst)(rest).cast("timestamp_ntz"))).drop("__clean")
 
 
 def _residue(dayfirst: bool, yearfirst: bool):

@@ -42,12 +42,22 @@ def add(df: DataFrame, found: list[tuple[Column, Column]]) -> DataFrame:
 def drop_rows(df: DataFrame, test: Column, reason: str, section: str) -> DataFrame:
     """Marks rows as dropped, each with one event."""
     found = event("row_dropped", ROW, F.lit("row_present"), F.lit(None), reason, section)
-    return add(df, [(test, found)]).withColumn(DROPPED, F.col(DROPPED) | test)
+    return add(df, [(test, found)]).withColumn(DROPPED, sealed(F.col(DROPPED) | test))
+
+
+def sealed(test: Column) -> Column:
+    """The same truth value, but not to be pushed below the projection that computes it.
+
+    A filter on a late column would otherwise be rewritten in terms of the scan's columns, with every step of every
+    phase written out at each mention, which grows exponentially with the number of steps.
+    """
+    return test & (F.monotonically_increasing_id() >= 0)
 
 
 def events(df: DataFrame, clock: str) -> DataFrame:
     """One row for each event of the rows, dropped rows included."""
-    one = df.select(F.col(ROW_ID).alias("row_id"), F.explode(EVENTS).alias("e"))
+    # the outer form: for the inner one Spark pushes a filter on the whole array down to the scan
+    one = df.select(F.col(ROW_ID).alias("row_id"), F.explode_outer(EVENTS).alias("e")).where("e is not null")
     return one.select("e.event_type", "row_id", "e.column", "e.old_value", "e.new_value", "e.reason", "e.policy_section", F.lit(clock).alias("timestamp"))
 
 

@@ -86,18 +86,21 @@ def _numbers(df: DataFrame, policy: Policy) -> DataFrame:
     return df
 
 
-def parse_datetime(name: str, kind: T.DataType, policy: Policy) -> Column:
-    config = policy.parsing.datetime
+def with_datetime(df: DataFrame, name: str, policy: Policy, out: str = "__time") -> DataFrame:
+    """Adds the parsed datetime of a column; missing and unreadable values are null."""
+    config, kind = policy.parsing.datetime, df.schema[name].dataType
+    empty = missing(name, kind)
     if is_time(kind):
-        return col(name).cast("timestamp_ntz")
-    return dates.parse(col(name).cast("string"), config.allowed_formats, config.dayfirst, config.yearfirst)
+        return df.withColumn(out, F.when(~empty, col(name).cast("timestamp_ntz")))
+    text = F.when(~empty, col(name).cast("string"))
+    return dates.parse(df, text, out, config.allowed_formats, config.dayfirst, config.yearfirst)
 
 
 def _datetimes(df: DataFrame, policy: Policy) -> DataFrame:
     for name in typed_columns(df, policy, TIMES):
         kind = df.schema[name].dataType
         empty = missing(name, kind)
-        df = df.withColumn("__time", F.when(~empty, parse_datetime(name, kind, policy)))
+        df = with_datetime(df, name, policy)
         outside = col("__time").isNotNull() & ~dates.in_range(col("__time"))
         failed = ~empty & col("__time").isNull()
         df = df.withColumns({"__failed": failed, "__outside": outside})

@@ -10,10 +10,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.functions import dates, numbers
-from sluice.functions.columns import RESERVED, col, is_number, is_text, is_time, text_of
+from sluice.functions import numbers
+from sluice.functions.columns import RESERVED, col, is_number, text_of
 from sluice.functions.missing import missing_in_profile, null_like, stripped
-from sluice.operators.parse import PARSED, parse_boolean
+from sluice.operators.parse import PARSED, parse_boolean, with_datetime
 from sluice.plans.policy import NUMBERS, TIMES, Policy
 from sluice.plans.score import readiness
 
@@ -38,7 +38,7 @@ def value_counts(df: DataFrame, names: list[str]) -> DataFrame:
     """Rows (column, value, n) of all columns from one shuffle; values as text, null included."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
     pairs = F.array(*[F.struct(F.lit(n).alias("column"), text_of(n, kinds[n]).alias("value")) for n in names])
-    return df.select(F.explode(pairs).alias("p")).select("p.column", "p.value").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    return df.select(F.explode_outer(pairs).alias("p")).select("p.column", "p.value").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def frequent_values(counts: DataFrame, k: int = TOP) -> DataFrame:
@@ -67,20 +67,19 @@ def parse_check(name: str, kind: T.DataType, target: str, policy: Policy):
         flat = F.lower(stripped(text))
         read = numbers.profile_number(text, config.numeric.allow_commas, config.numeric.allow_currency_symbols, config.numeric.allow_percent_symbol)
         return read.isNotNull() | flat.isin("inf", "-inf", "+inf", "infinity", "-infinity", "+infinity")
-    if target in TIMES:
-        if is_time(kind):
-            return F.lit(True)
-        return dates.parse(text, config.datetime.allowed_formats, config.datetime.dayfirst, config.datetime.yearfirst).isNotNull()
     return None
 
 
 def _column_aggregates(df: DataFrame, names: list[str], policy: Policy) -> dict[str, Any]:
     aggs = [F.count(F.lit(1)).alias("rows")]
+    for i, n in enumerate(names):
+        if policy.parsing.column_types.get(n) in TIMES:
+            df = with_datetime(df, n, policy, f"__time{i}")
     for i, n in enumerate(names):
         kind, target = df.schema[n].dataType, policy.parsing.column_types.get(n)
         empty = missing_in_profile(n, kind)
         aggs += [F.count_if(null_like(n, kind)).alias(f"null{i}"), F.count_if(empty).alias(f"empty{i}")]
-        test = parse_check(n, kind, target, policy) if target else None
+        test = F.col(f"__time{i}").isNotNull() if target in TIMES else parse_check(n, kind, target, policy) if target else None
         if target:
             bad = F.lit(False) if test is None else ~F.coalesce(test, F.lit(False))
             aggs.append(F.count_if(~empty & bad).alias(f"bad{i}"))
@@ -89,8 +88,7 @@ def _column_aggregates(df: DataFrame, names: list[str], policy: Policy) -> dict[
             value = F.when(~empty, value)
             aggs += [f(value).alias(f"{a}{i}") for a, f in (("min", F.min), ("max", F.max), ("mean", F.avg), ("std", F.stddev_samp), ("median", F.median), ("count", F.count))]
         elif target in TIMES:
-            value = col(n).cast("timestamp_ntz") if is_time(kind) else dates.parse(text_of(n, kind), policy.parsing.datetime.allowed_formats, policy.parsing.datetime.dayfirst, policy.parsing.datetime.yearfirst)
-            value = F.when(~empty, value)
+            value = F.when(~empty, F.col(f"__time{i}"))
             aggs += [F.date_format(f(value), "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias(f"{a}{i}") for a, f in (("min", F.min), ("max", F.max))]
         length = F.when(~empty, F.length(text_of(n, kind)))
         aggs += [F.min(length).alias(f"minlen{i}"), F.max(length).alias(f"maxlen{i}"), F.avg(length).alias(f"avglen{i}")]
@@ -163,4 +161,4 @@ def profile(df: DataFrame, policy: Policy, clock: str | None = None) -> dict[str
     return found
 
 
-__all__ = ["data_columns", "duplicate_rows", "frequent_values", "is_text", "parse_check", "profile", "role_of", "value_counts"]
+__all__ = ["data_columns", "duplicate_rows", "frequent_values", "parse_check", "profile", "role_of", "value_counts"]

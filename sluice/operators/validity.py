@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions.columns import DROPPED, VIOLATIONS, col, is_number
+from sluice.operators import events
 from sluice.plans.policy import Policy
 
 
@@ -61,14 +62,14 @@ def validate(df: DataFrame, policy: Policy) -> DataFrame:
         if action == "null":
             df = df.withColumn(name, F.when(~col("__bad"), col(name)))
     if action == "drop_row":
-        df = df.withColumn(DROPPED, F.col(DROPPED) | (F.size(VIOLATIONS) > 0))
+        df = df.withColumn(DROPPED, events.sealed(F.col(DROPPED) | (F.size(VIOLATIONS) > 0)))
     return df.drop("__bad")
 
 
 def violation_events(df: DataFrame, named: list[tuple[str, str, str]], policy: Policy, clock: str) -> DataFrame:
     """One row for each broken rule with its count, and one for dropped rows; ``named`` lists rules as ``rules`` did."""
     action = policy.validity_rules.on_violation
-    codes = df.select(F.explode(VIOLATIONS).alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("violation_count"))
+    codes = df.select(F.explode_outer(VIOLATIONS).alias("rule")).where("rule is not null").groupBy("rule").agg(F.count(F.lit(1)).alias("violation_count"))
     names = F.array(*[F.struct(F.lit(n).alias("column"), F.lit(f"{c}: {m}").alias("text")) for n, c, m in named]) if named else F.array().cast("array<struct<column:string,text:string>>")
     one = F.get(names, F.col("rule"))
     found = codes.select(
@@ -82,7 +83,7 @@ def violation_events(df: DataFrame, named: list[tuple[str, str, str]], policy: P
     )
     if action != "drop_row":
         return found
-    dropped = df.where(F.size(VIOLATIONS) > 0).agg(F.count(F.lit(1)).alias("n")).where("n > 0")
+    dropped = df.agg(F.count_if(F.size(VIOLATIONS) > 0).alias("n")).where("n > 0")
     total = dropped.select(
         F.lit("validity_drop").alias("event_type"),
         F.lit(None).cast("string").alias("column"),

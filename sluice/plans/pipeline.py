@@ -81,7 +81,7 @@ def row_local(df: DataFrame, policy: Policy, steps: list[dict[str, Any]] | None
 
 
 def change_counts(result: Result) -> DataFrame:
-    return result.rows.select(F.explode(EVENTS).alias("e")).groupBy("e.event_type", "e.column", "e.reason").agg(F.count(F.lit(1)).alias("count"))
+    return result.rows.select(F.explode_outer(EVENTS).alias("e")).where("e is not null").groupBy("e.event_type", "e.column", "e.reason").agg(F.count(F.lit(1)).alias("count"))
 
 
 __all__ = ["DROPPED", "Result", "change_counts", "cleaned", "compare", "correct", "row_local"]
