@@ -72,6 +72,10 @@ def _short_gram(hashes: str, n: Column, window: int) -> Column:
     return out
 
 
+def _short_mark(n: int):
+    return lambda i: F.struct(F.xxhash64(F.lit(-n), *_at("h", i, n)).alias("fp"), i.alias("pos"))
+
+
 def _marks(docs: DataFrame, short: list[int], window: int, gram: int) -> DataFrame:
     """Adds marks: array of (fp, pos) with the winnowed grams of the text, all grams of the short lengths, and one mark for the row itself."""
     docs = docs.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
@@ -86,8 +90,7 @@ def _marks(docs: DataFrame, short: list[int], window: int, gram: int) -> DataFra
         most = lambda at: F.get("m", at)
     pairs = F.transform("g", lambda x, at: F.struct(x.alias("fp"), at.alias("pos")))
     marks = [F.array(F.struct(F.lit(_SELF).cast("long").alias("fp"), F.lit(-1).alias("pos"))), F.filter(pairs, lambda p: p["fp"] == most(p["pos"]))]
-    for size in short:
-        marks.append(_upto(F.size("h") - size, lambda i, n=size: F.struct(F.xxhash64(F.lit(-n), *_at("h", i, n)).alias("fp"), i.alias("pos"))))
+    marks += [_upto(F.size("h") - n, _short_mark(n)) for n in short]
     return docs.withColumn("marks", F.concat(*marks))
 
 

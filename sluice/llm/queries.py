@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import decontaminate, langid, mixing, quality, sharding, simhash, tokens, urlfilter, warc
+from sluice.llm import decontaminate, langid, linededup, mixing, quality, sharding, simhash, tokens, urlfilter, warc
 from sluice.llm.shared import Scratch
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -76,6 +76,11 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated and nearly repeated lines of all documents."""
+    return linededup.line_report(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of all documents."""
     found = tokens.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language": op6_language,
     "op7_shards": op7_shards,
     "op8_urls": op8_urls,
+    "op9_lines": op9_lines,
     "op10_token_counts": op10_token_counts,
 }
 
