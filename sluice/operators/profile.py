@@ -60,6 +60,8 @@ def parse_check(name: str, kind: T.DataType, target: str, policy: Policy):
     text = text_of(name, kind)
     config = policy.parsing
     if target == "boolean":
+        if isinstance(kind, T.BooleanType):
+            return F.lit(True)
         return parse_boolean(text, config.boolean_for(name)).isNotNull()
     if target in NUMBERS:
         if is_number(kind):
