@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sluice.functions import dates, numbers
 from sluice.functions.columns import DROPPED, col, is_text, is_time
@@ -29,7 +28,7 @@ def _finish(df: DataFrame, name: str, value: Column, reason: Column, on_failure:
     df = events.add(df, [(failed, events.event("parsing_failure", name, col(name), F.lit(None), col("__reason"), section))])
     if on_failure == "keep_raw":
         raw = col(name).cast("string")
-        df = df.withColumns({name: F.when(col("__missing") | failed, raw).otherwise(raw), name + PARSED: col("__value")})
+        df = df.withColumns({name: raw, name + PARSED: col("__value")})
     else:
         df = df.withColumn(name, col("__value"))
         if on_failure == "drop_row":
