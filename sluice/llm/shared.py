@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import atexit
-import os
+import shutil
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,20 +25,13 @@ def scratch_dir(spark: SparkSession) -> str:
     if shared:
         return shared.rstrip("/")
     if not _own_dir:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         _own_dir.append(tempfile.mkdtemp(prefix="sluice-"))
+        atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
     return f"file://{_own_dir[0]}"
 
 
-def importable(spark: SparkSession) -> None:
-    """Lets Python workers import this package from the driver's path, where they have that path."""
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    held = env.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in held:
-        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, held)])
-
-
 def _path(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
