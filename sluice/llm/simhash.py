@@ -183,7 +183,7 @@ def _verify(distance: int):
     return run
 
 
-def _buckets(entries: DataFrame, scratch: Scratch, block: int) -> DataFrame:
+def buckets(entries: DataFrame, scratch: Scratch, block: int) -> DataFrame:
     """Rows (key, i, j, fp). Buckets over the block size are dealt out as pairs of blocks, so no task holds a large bucket."""
     sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     hot = scratch.save(sizes.where(F.col("n") > block).select("key", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks")), "hot")
@@ -218,11 +218,16 @@ def near_duplicates(
     marked = scratch.save(fingerprints(docs, id_col, text_col, n), "fingerprints")
     reps = scratch.save(marked.read().groupBy("fp").agg(F.min("id").alias("rep")), "reps")
     groups = _link(reps, scratch, distance, n_segments, block)
+    return named(marked, reps, groups, scratch)
+
+
+def named(marked: Table, reps: Table, groups: Table, scratch: Scratch) -> DataFrame:
+    """Rows (id, fp, component_id, root) of marked documents, from components (u, v) of their marks."""
     in_group = groups.read().select(F.col("u").alias("fp"), F.col("v").alias("root"))
     in_group = in_group.unionByName(in_group.select(F.col("root").alias("fp"), "root").distinct())
-    named = in_group.join(reps.read(), "fp")
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    merged = scratch.save(named.select("fp", "root").join(least, "root"), "merged")
+    members = in_group.join(reps.read().select("fp", "rep"), "fp")
+    least = members.groupBy("root").agg(F.min("rep").alias("component_id"))
+    merged = scratch.save(members.select("fp", "root").join(least, "root"), "merged")
     own = F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("component_id"))
     names = reps.read().join(merged.read(), "fp", "left").select("fp", own.alias("component_id"), F.coalesce("root", "fp").alias("root"))
     return marked.read().join(names, "fp", "left").select("id", "fp", "component_id", "root")
@@ -234,7 +239,7 @@ def _link(reps: Table, scratch: Scratch, distance: int, n_segments: int | None,
     plan = segment_plan(n_segments or segments_for(rows, distance), distance)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / 50_000))
     entries = reps.read().select("fp").repartition(parts, "fp").mapInArrow(_entries(plan), "key long, fp long")
-    dealt = _buckets(entries, scratch, block)
+    dealt = buckets(entries, scratch, block)
     sorted_rows = dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "fp")
     return components(spark, sorted_rows.mapInArrow(_verify(distance), "u long, v long"), scratch)
 
@@ -254,8 +259,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     Columns and types are those of ``docs``. Of several rows with that id one stays (that of the smallest
     fingerprint); a group of null ids keeps one row.
     """
+    return keep_smallest(docs, near_duplicates(docs, id_col, text_col, n=n, **options), _with_fingerprint(n), id_col, text_col)
+
+
+def keep_smallest(docs: DataFrame, groups: DataFrame, with_mark, id_col: str, text_col: str) -> DataFrame:
+    """One document of each group; ``with_mark`` is the Arrow function from (row, id, text) to (row, id, fp)."""
     scratch = Scratch(docs.sparkSession, "keep")
-    groups = near_duplicates(docs, id_col, text_col, n=n, **options)
     own = groups.where(F.col("id").eqNullSafe(F.col("component_id")))
     keep = scratch.save(own.groupBy("root").agg(F.min("fp").alias("fp"), F.first("id").alias("keep_id"), F.count(F.lit(1)).alias("n")), "kept")
     plain = keep.read().where("n = 1 and keep_id is not null").select("keep_id")
@@ -266,7 +275,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("id"), docs[text_col].cast("binary").alias("text"))
     rows = rows.join(odd.select("keep_id").distinct(), rows["id"].eqNullSafe(F.col("keep_id")), "left_semi")
     schema = T.StructType([rows.schema["row"], T.StructField("id", T.LongType()), T.StructField("fp", T.LongType())])
-    marked = rows.mapInArrow(_with_fingerprint(n), schema)
+    marked = rows.mapInArrow(with_mark, schema)
     chosen = odd.select("keep_id", F.col("fp").alias("keep_fp"))
     hits = marked.join(chosen, marked["id"].eqNullSafe(F.col("keep_id")) & (marked["fp"] == F.col("keep_fp")))
     return kept.unionByName(hits.groupBy("id", "fp").agg(F.first("row").alias("row")).select("row.*"))
