@@ -25,6 +25,7 @@ PARTS = 256
 MAX_SOURCES = 100_000
 
 _STEPS = 60
+_MOST_EXPONENT = 2.0**40
 
 
 @dataclass(frozen=True)
@@ -39,7 +40,8 @@ class Share:
 def weights(tokens: Mapping[str, int], exponent: float) -> dict[str, float]:
     """Shares to the power of the exponent, normalised. Sources without tokens have weight zero."""
     whole = sum(tokens.values())
-    raw = {s: (t / whole) ** exponent if t else 0.0 for s, t in sorted(tokens.items())} if whole else {}
+    base = max(tokens.values(), default=0) if exponent > 1 else whole  # high powers of shares would all vanish
+    raw = {s: (t / base) ** exponent if t else 0.0 for s, t in sorted(tokens.items())} if whole else {}
     total = sum(raw.values())
     return {s: v / total for s, v in raw.items()}
 
@@ -54,7 +56,7 @@ def repeats(tokens: Mapping[str, int], shares: Mapping[str, float], budget: floa
 
 
 def exponent_for(tokens: Mapping[str, int], budget: float, max_repeats: float | None = MAX_REPEATS, target_entropy: float | None = None) -> float:
-    """The exponent in [0, 1], by bisection.
+    """The exponent, by bisection: in [0, 1], or above if the target entropy is below that of the shares.
 
     With a target entropy: where the mixture has it (entropy falls as the exponent grows). Else: the least exponent,
     the flattest mixture, whose repetition keeps the limit. With neither: 1, the shares as they are.
@@ -71,6 +73,12 @@ def exponent_for(tokens: Mapping[str, int], budget: float, max_repeats: float |
     if fits(0.0):
         return 0.0
     low, high = 0.0, 1.0
+    if target_entropy is None and repeats(tokens, weights(tokens, 1.0), budget) > max_repeats * (1 + 1e-9):
+        raise ValueError(f"a budget of {budget} tokens repeats sources over {max_repeats} times in every mixture")
+    while target_entropy is not None and not fits(high):
+        low, high = high, 2 * high
+        if high > _MOST_EXPONENT:
+            raise ValueError(f"no mixture has an entropy as low as {target_entropy}")
     for _ in range(_STEPS):
         middle = (low + high) / 2
         low, high = (low, middle) if fits(middle) else (middle, high)
