@@ -6,18 +6,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.components import components
-from sluice.llm.shared import Scratch
+from sluice.llm.shared import BROADCAST_BYTES, Scratch, Table
 
 #: Lines are linked up to so many edits of one character.
 EDITS = 2
 
-#: Shorter lines are equal or different, never near: a few edits would turn any of them into any other.
-LEAST_CHARS = 12
+#: One edit needs so many characters of the shorter line: five make near lines at least 0.8 alike.
+CHARS_AN_EDIT = 5
+
+#: Keys with more lines are refined by further segments before any pair is made.
+HOT = 64
+
+#: Entries that are compared with one another in one piece of work, where refining is at its end.
+BLOCK = 1024
+
+#: A line is met by broadcast if it is over one in so many of all lines; there are at most as many of these.
+HOT_LINES = 256
 
 _SPACE = r"[^ \t-\r]"
 _ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 
 
+def allowed(length: Column, edits: int = EDITS, chars_an_edit: int = CHARS_AN_EDIT) -> Column:
+    """Edits that may lie between two lines, the shorter of which has that length."""
+    return F.least(F.lit(edits), F.floor(length / F.lit(chars_an_edit)).cast("int"))
+
+
 def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
     """(first character from 1, characters) of segment ``i`` of a line of that length cut into edits + 1 even segments."""
     n = edits + 1
@@ -26,36 +40,40 @@ def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
     return first, base + F.when(F.lit(i) >= n - longer, 1).otherwise(0)
 
 
-def _key(length: Column, i: int, text: Column) -> Column:
-    return F.xxhash64(length.cast("int"), F.lit(i), text)
+def _shifts(i: int, less: int, edits: int) -> range:
+    """How far segment ``i`` of a line may lie from its place in one that is ``less`` characters longer: as many edits as fit on either side."""
+    return range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)
 
 
-def home_keys(line: Column, edits: int = EDITS) -> list[Column]:
-    """The keys of a line's own segments."""
-    length, out = F.length(line), []
+def _probes(line: Column, target: Column, less: int, edits: int, parent: Column, own: Column) -> list[Column]:
+    """Structs (key, home, start, n) of the substrings of ``line`` that can equal a segment of a line of the target length.
+
+    One of them equals its segment for every such line within the edits. With ``own`` true the line has the target
+    length itself, and its own segments are marked as home.
+    """
+    out = []
     for i in range(edits + 1):
-        first, n = _segment(length, i, edits)
-        out.append(_key(length, i, F.substring(line, first, n)))
+        first, n = _segment(target, i, edits)
+        for shift in _shifts(i, less, edits):
+            start = first + shift
+            inside = (start >= 1) & (start + n - 1 <= F.length(line))
+            key = F.xxhash64(parent, target.cast("int"), F.lit(i), F.substring(line, start, n))
+            home = own if less == 0 and shift == 0 else F.lit(False)
+            out.append(F.when(inside, F.struct(key.alias("key"), home.alias("home"), start.alias("start"), n.alias("n"))))
     return out
 
 
-def probe_keys(line: Column, edits: int = EDITS) -> list[Column]:
-    """The keys of the substrings of a line that can equal a segment of a line as long or up to ``edits`` shorter.
-
-    For segment i and a difference in length, only shifts that leave enough edits on either side of the segment
-    are looked up; one of them hits for every line within the edits.
-    """
-    out = []
+def _line_entries(line: Column, edits: int, chars_an_edit: int) -> Column:
+    """The entries (key, home, start, n, edits, rest_chars) of a line: its own segments, and its probes for lines as long or shorter."""
+    length, out = F.length(line), []
     for less in range(edits + 1):
-        length = F.length(line) - less
-        for i in range(edits + 1):
-            first, n = _segment(length, i, edits)
-            for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                if less or shift:
-                    start = first + shift
-                    inside = (start >= 1) & (start + n - 1 <= F.length(line))
-                    out.append(F.when(inside, _key(length, i, F.substring(line, start, n))))
-    return out
+        target = length - less
+        for t in range(max(1, less), edits + 1):
+            fits = (target >= 1) & (allowed(target, edits, chars_an_edit) == t)
+            for probe in _probes(line, target, less, t, F.lit(0).cast("long"), F.lit(True)):
+                full = F.struct(probe["key"].alias("key"), probe["home"].alias("home"), probe["start"].alias("start"), probe["n"].alias("n"), F.lit(t).alias("edits"), (target - probe["n"]).alias("rest_chars"))
+                out.append(F.when(fits & probe.isNotNull(), full))
+    return F.array_compact(F.array(*out))
 
 
 def _let(value: Column, body) -> Column:
@@ -152,53 +170,139 @@ def _letters(line: Column) -> list[Column]:
     return [*plain, F.length(F.translate(line, _ALPHABET, "")).alias(f"n{len(_ALPHABET)}")]
 
 
-def _candidates(lines: DataFrame, scratch: Scratch, edits: int) -> DataFrame:
-    """Rows (key, line_id, home) of the keys that different lines share, one of them by its own segment."""
-    keys = lines.select(_line_id(F.col("line")).alias("line_id"), F.array(*home_keys(F.col("line"), edits)).alias("home"), F.array(*probe_keys(F.col("line"), edits)).alias("probe"))
-    unique = scratch.save(keys.groupBy("line_id").agg(F.first("home").alias("home"), F.first("probe").alias("probe")), "lines").read()
-    own = F.transform("home", lambda k: F.struct(k.alias("key"), F.lit(True).alias("home")))
-    marked = F.concat(own, F.transform("probe", lambda k: F.struct(k.alias("key"), F.lit(False).alias("home"))))
-    every = unique.select("line_id", F.explode_outer(marked).alias("e")).select("line_id", "e.key", "e.home").where("key is not null")
-    mark = F.xxhash64("line_id")
-    shared = every.groupBy("key").agg(F.min(mark).alias("low"), F.max(mark).alias("high"), F.max("home").alias("any_home")).where(F.col("low") != F.col("high")).where("any_home")
-    shared = scratch.save(shared.select("key"), "keys")
-    return scratch.save(every.join(shared.fitting(), "key"), "candidates").read()
-
-
-def links(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
-    """Rows (u, v): ids of different lines within the edits, each pair once.
+def _refined(entries: DataFrame, scratch: Scratch, edits: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(tables of entries (key, line_id, home) to be paired, tables of links (u, v)) from entries of hot keys.
 
-    Keys are counted before any pair is made; only lines that share a key get their texts and letter counts, and
-    pairs whose counts differ too much never leave the join.
+    Lines of a key share one segment; what is left of them (``rest``) is at most the same number of edits apart. In
+    each round a key's rests lose the ends that all of them share, and are cut into segments again. A key's lines are
+    paired once they are few. Where no more characters than edits are left at the same places of all home lines, these
+    are near one another without a look at any pair, and each is linked with one of them. Keys with equal
+    entries are followed once. Rests get shorter in every round, so rounds end.
     """
-    lines = _lines(docs, id_col, text_col).select("line").where(F.length("line") >= LEAST_CHARS)
-    found = _candidates(lines, scratch, edits)
+    ready, links = [], []
+    fields = ("key", "line_id", "home", "edits", "rest_chars", "rest")
+    while True:
+        size = F.length("rest")
+        stats = entries.groupBy("key").agg(
+            *(F.count(F.lit(1)).alias("n"), F.min("line_id").alias("low"), F.max("line_id").alias("high"), F.max("home").alias("any_home"), F.min(size).alias("least")),
+            *(F.min("rest").alias("a"), F.max("rest").alias("b"), F.min(F.reverse("rest")).alias("c"), F.max(F.reverse("rest")).alias("d")),
+        )
+        stats = stats.where("any_home and low <> high").withColumn("front", _common(F.col("a"), F.col("b"), F.left))
+        stats = stats.withColumn("back", F.least(F.col("least") - F.col("front"), _common(F.col("c"), F.col("d"), F.left)))
+        cut = scratch.save(stats.select("key", "n", "front", "back"), "ends")
+        short = F.substr("rest", F.col("front") + 1, size - F.col("front") - F.col("back"))
+        cleared = entries.join(cut.fitting(), "key").select("key", "line_id", "home", "edits", (F.col("rest_chars") - F.col("front") - F.col("back")).alias("rest_chars"), short.alias("rest"))
+        cleared = scratch.save(cleared, "cleared")
+        mark = F.xxhash64("line_id", "rest", "home")
+        same = cleared.read().groupBy("key").agg(F.first("edits").alias("edits"), F.first("rest_chars").alias("left"), F.count(F.lit(1)).alias("n"), F.bit_xor(mark).alias("x"), F.sum(F.shiftrightunsigned(mark, 24)).alias("s"))
+        same = scratch.save(same.groupBy("edits", "left", "n", "x", "s").agg(F.min("key").alias("key")), "followed")
+        one = same.read()
+        last = F.col("left") <= F.col("edits")
+        ready.append(cleared.read().join(one.where((F.col("n") <= HOT) | last).select("key"), "key", "left_semi").select("key", "line_id", "home"))
+        star = cleared.read().where("home").join(one.where(last).select("key"), "key", "left_semi")
+        low = star.groupBy("key").agg(F.min("line_id").alias("v"))
+        links.append(star.join(low, "key").where("line_id <> v").select(F.col("line_id").alias("u"), "v"))
+        go = one.where((F.col("n") > HOT) & ~last).select("key")
+        if go.isEmpty():
+            return ready, links
+        less, found = F.length("rest") - F.col("rest_chars"), []
+        for t in range(1, edits + 1):
+            for by in range(t + 1):
+                fits = (F.col("edits") == t) & (less == by)
+                found += [F.when(fits, p) for p in _probes(F.col("rest"), F.col("rest_chars"), by, t, F.col("key"), F.col("home"))]
+        parts = cleared.read().join(go, "key", "left_semi").select("line_id", "edits", "rest_chars", "rest", F.explode(F.array_compact(F.array(*found))).alias("e"))
+        rest = F.concat(F.left("rest", F.col("e.start") - 1), F.substr("rest", F.col("e.start") + F.col("e.n")))
+        parts = parts.select(F.col("e.key").alias("key"), "line_id", F.col("e.home").alias("home"), "edits", (F.col("rest_chars") - F.col("e.n")).alias("rest_chars"), rest.alias("rest"))
+        entries = scratch.save(parts.select(*fields).distinct(), "entries").read()
+
+
+def _candidates(lines: DataFrame, scratch: Scratch, edits: int, chars_an_edit: int) -> tuple[DataFrame, Table]:
+    """(entries (key, line_id, home) of keys that different lines share, one of them by its own segment; links that need no pair)."""
+    every = F.transform(_line_entries(F.col("line"), edits, chars_an_edit), lambda e: F.struct(e["key"].alias("key"), e["home"].alias("home")))
+    unique = lines.select(_line_id(F.col("line")).alias("line_id"), every.alias("entries")).groupBy("line_id").agg(F.first("entries").alias("entries"))
+    unique = scratch.save(unique.select("line_id", F.explode("entries").alias("e")).select("line_id", "e.key", "e.home"), "lines").read()
+    mark = F.xxhash64("line_id")
+    shared = unique.groupBy("key").agg(F.min(mark).alias("low"), F.max(mark).alias("high"), F.max("home").alias("any_home"), F.count(F.lit(1)).alias("n"))
+    shared = scratch.save(shared.where("any_home and low <> high").select("key", "n"), "keys")
+    cold = unique.join(shared.fitting().where(F.col("n") <= HOT).select("key"), "key").distinct()
+    none = lines.sparkSession.createDataFrame([], "u binary, v binary")
+    hot = scratch.save(shared.read().where(F.col("n") > HOT).select("key"), "hot")
+    if hot.read().isEmpty():
+        return scratch.save(cold, "candidates").read(), scratch.save(none, "stars")
+    needed = scratch.save(unique.join(hot.fitting(), "key", "left_semi").select("line_id").distinct(), "hot-lines")
+    texts = lines.select(_line_id(F.col("line")).alias("line_id"), "line").join(needed.fitting(), "line_id", "left_semi").groupBy("line_id").agg(F.first("line").alias("line"))
+    parts = texts.select("line_id", "line", F.explode(_line_entries(F.col("line"), edits, chars_an_edit)).alias("e"))
+    rest = F.concat(F.left("line", F.col("e.start") - 1), F.substr("line", F.col("e.start") + F.col("e.n")))
+    parts = parts.select("e.key", "line_id", "e.home", "e.edits", "e.rest_chars", rest.alias("rest")).join(hot.fitting(), "key", "left_semi").distinct()
+    ready, links = _refined(scratch.save(parts, "hot-entries").read(), scratch, edits)
+    for more in ready:
+        cold = cold.unionByName(more)
+    for more in links:
+        none = none.unionByName(more)
+    return scratch.save(cold, "candidates").read(), scratch.save(none.distinct(), "stars")
+
+
+def _dealt(entries: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(home entries, all entries) with a block: those of keys over the block size are dealt out, so that no task pairs a whole one."""
+    sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    large = scratch.save(sizes.where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks")), "large")
+    if large.read().isEmpty():
+        with_block = entries.withColumn("block", F.lit(0))
+        return with_block.where("home"), with_block
+    dealt = entries.join(large.fitting(), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64("line_id"), F.col("blocks").cast("long")).cast("int")
+    copies = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.where("home").withColumn("block", own).drop("blocks"), copies.drop("blocks")
+
+
+def links(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, chars_an_edit: int = CHARS_AN_EDIT) -> DataFrame:
+    """Rows (u, v): ids of different lines within the edits. Chains of links join all lines that chains of near lines join.
+
+    Keys are counted before any pair is made; those with many lines are refined first (``_refined``). Lines that its
+    links join already are not paired again. Only lines that share a key get their texts and letter counts, and pairs
+    whose counts differ too much never leave the join.
+    """
+    lines = _lines(docs, id_col, text_col).select("line").where(F.length("line") >= chars_an_edit)
+    found, stars = _candidates(lines, scratch, edits, chars_an_edit)
+    joined = _classes(components(lines.sparkSession, stars.read(), scratch).read())
+    known = scratch.save(joined, "joined")
+    classed = found.join(known.fitting(), "line_id", "left").withColumn("class", F.coalesce("root", "line_id")).drop("root")
+    several = scratch.save(classed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key"), "several")
+    found = scratch.save(classed.join(several.fitting(), "key", "left_semi"), "paired").read()
     needed = scratch.save(found.select("line_id").distinct(), "needed")
-    texts = lines.select(_line_id(F.col("line")).alias("line_id"), "line").join(needed.fitting(), "line_id")
+    texts = lines.select(_line_id(F.col("line")).alias("line_id"), "line").join(needed.fitting(), "line_id", "left_semi")
     texts = scratch.save(texts.groupBy("line_id").agg(F.first("line").alias("line")), "texts").read()
     counts = texts.select("line_id", F.length("line").alias("length"), *_letters(F.col("line")))
-    rows = found.join(counts, "line_id")
-    names = ["length", *[f"n{i}" for i in range(len(_ALPHABET) + 1)]]
-    one = rows.where("home").select("key", F.col("line_id").alias("u"), *[F.col(n).alias(f"u_{n}") for n in names])
-    other = rows.select("key", F.col("line_id").alias("v"), *[F.col(n).alias(f"v_{n}") for n in names])
-    apart = sum((F.abs(F.col(f"u_{n}") - F.col(f"v_{n}")) for n in names[1:]), F.lit(0))
-    close = (F.col("u") != F.col("v")) & (F.abs(F.col("u_length") - F.col("v_length")) <= edits) & (apart <= 2 * edits)
-    near = one.join(other.withColumnRenamed("key", "of"), (F.col("key") == F.col("of")) & close)
+    names = ["class", "length", *[f"n{i}" for i in range(len(_ALPHABET) + 1)]]
+    home, every = _dealt(found.join(counts, "line_id"), scratch)
+    one = home.select("key", "block", F.col("line_id").alias("u"), *[F.col(n).alias(f"u_{n}") for n in names])
+    other = every.select(F.col("key").alias("of"), F.col("block").alias("in"), F.col("line_id").alias("v"), *[F.col(n).alias(f"v_{n}") for n in names])
+    apart = sum((F.abs(F.col(f"u_{n}") - F.col(f"v_{n}")) for n in names[2:]), F.lit(0))
+    close = (F.col("u_class") != F.col("v_class")) & (F.abs(F.col("u_length") - F.col("v_length")) <= edits) & (apart <= 2 * edits)
+    near = one.join(other, (F.col("key") == F.col("of")) & (F.col("block") == F.col("in")) & close)
     near = scratch.save(near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs").read()
     pairs = near.join(texts.select(F.col("line_id").alias("u"), F.col("line").alias("a")), "u").join(texts.select(F.col("line_id").alias("v"), F.col("line").alias("b")), "v")
-    return pairs.where(distance(F.col("a"), F.col("b"), edits).isNotNull()).select("u", "v")
+    most = allowed(F.least(F.length("a"), F.length("b")), edits, chars_an_edit)
+    return pairs.where(F.coalesce(distance(F.col("a"), F.col("b"), edits) <= most, F.lit(False))).select("u", "v").unionByName(stars.read())
 
 
-def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
+def _classes(stars: DataFrame) -> DataFrame:
+    """Rows (line_id, root) of all members of components, roots included."""
+    member = stars.select(F.col("u").alias("line_id"), F.col("v").alias("root"))
+    return member.unionByName(member.select(F.col("root").alias("line_id"), "root").distinct())
+
+
+def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, chars_an_edit: int = CHARS_AN_EDIT) -> DataFrame:
     """Rows (row, id, at, first_id, dup, near): every line that has a word, and a row without place for each text without such lines.
 
-    Classes join equal lines and, from ``LEAST_CHARS`` characters on, lines within the edits, directly or by others.
-    The first line of a class is that with the least id, then place; dup marks all others, near those whose text is
-    not the first line's. Equal lines meet by their hash. Different ones meet when one of the edits + 1 segments of the
-    one equals a substring of the other, probed by length and place; the pairs are verified by a banded bit-parallel
-    edit distance.
+    Classes join equal lines and lines that are near, directly or by others: at most ``edits`` edits apart, and at most
+    one for every ``chars_an_edit`` characters of the shorter line. The first line of a class is that with the least
+    id, then place; dup marks all others, near those whose text is not the first line's. Equal lines meet by their
+    hash. Different ones meet when one of the edits + 1 segments of the one equals a substring of the other, probed by
+    length and place; pairs are verified by a banded bit-parallel edit distance.
 
     Null text has no lines. Null ids come last; repeated ids keep their rows. An empty table gives an empty result.
+    Lines of any length are compared whole. Other columns are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
@@ -206,37 +310,54 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     split = _split(docs, id_col, text_col).select("row", "id", F.when(line.isNotNull() | (F.col("at") == 0), F.col("at")).alias("at"), _line_id(line).alias("line_id"))
     occurrences = scratch.save(split.where("line_id is not null or at is null or at = 0"), "occurrences").read()
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row", "at")
-    firsts = scratch.save(occurrences.where("line_id is not null").groupBy("line_id").agg(F.min(order).alias("first")), "firsts").read()
-    stars = components(spark, links(docs, scratch, id_col, text_col, edits), scratch).read()
-    member = stars.select(F.col("u").alias("line_id"), F.col("v").alias("root"))
-    member = member.unionByName(member.select(F.col("root").alias("line_id"), "root").distinct())
+    firsts = scratch.save(occurrences.where("line_id is not null").groupBy("line_id").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")), "firsts").read()
+    member = _classes(components(spark, links(docs, scratch, id_col, text_col, edits, chars_an_edit), scratch).read())
     own = member.join(firsts, "line_id")
     least = own.groupBy("root").agg(F.min("first").alias("class_first"))
     named = scratch.save(own.join(least, "root").select("line_id", "class_first"), "classes").read()
-    table = firsts.join(named, "line_id", "left").select("line_id", "first", F.coalesce("class_first", "first").alias("class_first"))
-    found = occurrences.where("line_id is not null").join(table, "line_id")
+    table = firsts.join(named, "line_id", "left").select("line_id", "n", "first", F.coalesce("class_first", "first").alias("class_first"))
+    # lines that occur once and are near no other need no look-up
+    special = scratch.save(table.where((F.col("n") > 1) | (F.col("first") != F.col("class_first"))), "special")
+    found = _looked_up(occurrences.where("line_id is not null"), special)
     is_first = (F.col("row") == F.col("class_first.row")) & (F.col("at") == F.col("class_first.at"))
-    found = found.select("row", "id", "at", F.col("class_first.id").alias("first_id"), (~is_first).alias("dup"), (F.col("first") != F.col("class_first")).alias("near"))
+    other = F.col("class_first").isNotNull()
+    found = found.select(
+        *("row", "id", "at", F.when(other, F.col("class_first.id")).otherwise(F.col("id")).alias("first_id"), F.when(other, ~is_first).otherwise(False).alias("dup")),
+        F.when(other, F.col("first") != F.col("class_first")).otherwise(False).alias("near"),
+    )
     none = occurrences.where("line_id is null").select("row", "id", F.lit(None).cast("int").alias("at"), F.lit(None).cast(found.schema["first_id"].dataType).alias("first_id"), F.lit(False).alias("dup"), F.lit(False).alias("near"))
     return found.unionByName(none)
 
 
-def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
+def _looked_up(occurrences: DataFrame, special: Table) -> DataFrame:
+    """Occurrences with first and class_first of their line. Very frequent lines, of which there are few, are met by broadcast."""
+    if special.bytes() <= BROADCAST_BYTES:
+        return occurrences.join(F.broadcast(special.read().drop("n")), "line_id", "left")
+    rows = occurrences.count()
+    often = F.col("n") > rows // HOT_LINES
+    hot = F.broadcast(special.read().where(often).select("line_id", "first", "class_first"))
+    rest = special.read().where(~often).select("line_id", "first", "class_first")
+    one = occurrences.join(hot, "line_id")
+    other = occurrences.join(hot.select("line_id"), "line_id", "left_anti").join(rest, "line_id", "left")
+    return one.unionByName(other)
+
+
+def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, chars_an_edit: int = CHARS_AN_EDIT) -> DataFrame:
     """Rows (id, n_lines, n_dup_lines, n_near_lines, first_ids): every document with its repeated lines and the documents that have them first."""
-    lines = line_classes(docs, id_col, text_col, edits)
+    lines = line_classes(docs, id_col, text_col, edits, chars_an_edit)
     counted = lines.groupBy("row", "id").agg(
         F.count("at").alias("n_lines"), F.count_if("dup").alias("n_dup_lines"), F.count_if("near").alias("n_near_lines"), F.sort_array(F.collect_set(F.when(F.col("dup"), F.col("first_id")))).alias("first_ids")
     )
     return counted.drop("row")
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, chars_an_edit: int = CHARS_AN_EDIT) -> DataFrame:
     """The documents with every line but the first of its class taken out of their texts; other columns stay."""
     names = docs.columns
     scratch = Scratch(docs.sparkSession, "unrepeated")
     held = scratch.save(docs.withColumn("__sl_row", F.monotonically_increasing_id()), "documents").read()
     keyed = held.select(F.struct(F.col(f"`{id_col}`").alias("id"), F.col("__sl_row").alias("key")).alias("id"), F.col(f"`{text_col}`").alias("text"))
-    dups = line_classes(keyed, "id", "text", edits).where("dup").groupBy(F.col("id.key").alias("__sl_of")).agg(F.collect_set("at").alias("__sl_at"))
+    dups = line_classes(keyed, "id", "text", edits, chars_an_edit).where("dup").groupBy(F.col("id.key").alias("__sl_of")).agg(F.collect_set("at").alias("__sl_at"))
     marked = held.join(scratch.save(dups, "dups").read(), F.col("__sl_row") == F.col("__sl_of"), "left")
     text = F.col(f"`{text_col}`")
     kept = F.filter(F.split(text, "\n", -1), lambda _, at: ~F.array_contains("__sl_at", at))
