@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import json
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,6 +73,17 @@ class Scratch:
         self.count += 1
         return f"{self.root}/{self.count:04d}-{name}"
 
+    def save_rows(self, rows: Iterable[Sequence], schema: str, name: str) -> Table:
+        """A table of numbers and plain names from the driver, as one text file."""
+        path = self.new_path(name)
+        where, fs = _path(self.spark, f"{path}/part.json")
+        names = [f.split()[0] for f in schema.split(", ")]
+        out = fs.create(where)
+        out.write(bytearray("".join(json.dumps(dict(zip(names, r, strict=True))) + "\n" for r in rows), "utf-8"))
+        out.close()
+        found = self.spark.read.schema(schema).json(path)
+        return self.save(found, f"{name}-table")
+
     def save(self, df: DataFrame, name: str) -> Table:
         path = self.new_path(name)
         df.write.parquet(path)
