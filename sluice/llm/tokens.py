@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from sluice.session import importable
 
-#: Characters that go to the tokenizer at once, and the length from which a text is cut.
-BATCH_CHARS = 1 << 19
-CUT_CHARS = 1 << 16
+#: UTF-8 bytes that go to the tokenizer at once, and the length in bytes from which a text is cut.
+BATCH_BYTES = 1 << 19
+CUT_BYTES = 1 << 16
 
 #: Between a letter and a space before a letter, a byte-level tokenizer always starts a new piece at the space.
-_SAFE = re.compile("(?<=[A-Za-z])(?= [A-Za-z])")
+_SAFE = re.compile(b"(?<=[A-Za-z])(?= [A-Za-z])")
 
 
 @lru_cache(maxsize=4)
@@ -30,8 +30,8 @@ def _tokenizer(path: str):
     return found
 
 
-def pieces(text: str, most: int = CUT_CHARS) -> list[str]:
-    """The text in order, cut at the first safe boundary after every ``most`` characters; uncut where none follows."""
+def pieces(text: bytes, most: int = CUT_BYTES) -> list[bytes]:
+    """UTF-8 text in order, cut at the first safe boundary after every ``most`` bytes; uncut where none follows."""
     out, at = [], 0
     while len(text) - at > most:
         cut = _SAFE.search(text, at + most)
@@ -43,39 +43,39 @@ def pieces(text: str, most: int = CUT_CHARS) -> list[str]:
     return out
 
 
-def count_tokens(texts: list[str], path: str, batch_chars: int = BATCH_CHARS, cut_chars: int = CUT_CHARS) -> list[int]:
-    """Tokens of each text; batches hold about ``batch_chars`` characters, however many texts these are."""
-    encode = _tokenizer(path).encode_batch_fast
-    counts = [0] * len(texts)
-    batch: list[str] = []
+def batches(texts: Iterable[bytes], batch_bytes: int = BATCH_BYTES, cut_bytes: int = CUT_BYTES) -> Iterator[tuple[list[int], list[bytes]]]:
+    """(numbers of texts, pieces) in batches of at most ``batch_bytes``, however many texts these are; a larger piece is one of its own."""
     owners: list[int] = []
+    batch: list[bytes] = []
     held = 0
-
-    def flush() -> None:
-        for owner, found in zip(owners, encode(batch, add_special_tokens=False), strict=True):
-            counts[owner] += len(found)
-        batch.clear()
-        owners.clear()
-
     for i, text in enumerate(texts):
-        for piece in pieces(text, cut_chars):
-            batch.append(piece)
+        for piece in pieces(text, cut_bytes):
+            if batch and held + len(piece) > batch_bytes:
+                yield owners, batch
+                owners, batch, held = [], [], 0
             owners.append(i)
+            batch.append(piece)
             held += len(piece)
-            if held >= batch_chars:
-                flush()
-                held = 0
-    flush()
+    if batch:
+        yield owners, batch
+
+
+def count_tokens(texts: Sequence[bytes], path: str, batch_bytes: int = BATCH_BYTES, cut_bytes: int = CUT_BYTES) -> list[int]:
+    """Tokens of each UTF-8 text."""
+    encode = _tokenizer(path).encode_batch_fast
+    counts = [0] * len(texts)
+    for owners, batch in batches(texts, batch_bytes, cut_bytes):
+        for owner, found in zip(owners, encode([p.decode("utf-8", "replace") for p in batch], add_special_tokens=False), strict=True):
+            counts[owner] += len(found)
     return counts
 
 
-def _counter(path: str, batch_chars: int, cut_chars: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            sizes = [len(t.encode()) for t in texts]
-            counts = count_tokens(texts, path, batch_chars, cut_chars)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], names=["id", "n_bytes", "n_tokens"])
+def _counter(path: str, batch_bytes: int, cut_bytes: int):
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            texts = [t.as_py() or b"" for t in batch.column(1)]
+            counts = count_tokens(texts, path, batch_bytes, cut_bytes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(counts, pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
     return run
 
@@ -86,20 +86,23 @@ def token_counts(
     id_col: str = "doc_id",
     text_col: str = "text",
     limit: int = 1024,
-    batch_chars: int = BATCH_CHARS,
-    cut_chars: int = CUT_CHARS,
+    batch_bytes: int = BATCH_BYTES,
+    cut_bytes: int = CUT_BYTES,
 ) -> DataFrame:
     """Rows (id, n_bytes, n_tokens, over_limit): one per document, in one pass without a shuffle.
 
     Counts are those of the library for the whole text, without special tokens added; special strings inside a text
     are handled as the library's default has it. Only lengths leave the Python worker. Long texts are cut where a
-    byte-level tokenizer starts a new piece in any case, so cuts don't change counts. ``cut_chars`` suits tokenizers
+    byte-level tokenizer starts a new piece in any case, so cuts don't change counts. ``cut_bytes`` suits tokenizers
     with a byte-level pre-tokenizer; set it above the longest text for any other.
 
+    Batches are balanced by bytes, so memory follows neither the number of texts nor their script. A long text without
+    such a boundary is one piece.
+
     Null text: counts as empty, zero bytes and tokens. Null and repeated ids keep their rows. An empty table gives
     an empty result; other columns are not read. ``tokenizer_path`` is a file that every executor has.
     """
     importable(docs.sparkSession)
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    counted = rows.mapInArrow(_counter(tokenizer_path, batch_chars, cut_chars), "id long, n_bytes long, n_tokens long")
+    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").cast("binary").alias("text"))
+    counted = rows.mapInArrow(_counter(tokenizer_path, batch_bytes, cut_bytes), "id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
