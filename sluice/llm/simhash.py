@@ -89,13 +89,16 @@ def _ball(width: int, radius: int) -> list[int]:
 
 
 def segments_for(rows: int, distance: int = MAX_DISTANCE) -> int:
-    """The number of segments with the least probes plus expected chance matches a fingerprint; every number finds all links."""
+    """The number of segments with the least probes plus expected chance matches a fingerprint; every number finds all links.
+
+    At most as many segments as bits of distance, so at every size some segment is looked up by a Hamming ball.
+    """
 
     def cost(m: int) -> float:
         plan = segment_plan(m, distance)
         return sum((1 + len(_ball(w, r)) / 2) + rows * (1 + len(_ball(w, r))) / 2**w for _, w, r in plan)
 
-    return min(range(2, max(3, distance + 2)), key=cost)
+    return min(range(2, max(3, distance + 1)), key=cost)
 
 
 def _entries(plan: list[tuple[int, int, int]]):
@@ -211,7 +214,8 @@ def near_duplicates(
 
     Null text: no words, fingerprint zero, linked like any other. Null id: the document has a row and links, but
     its id is no candidate for a component id; a group of null ids only has a null component id. Repeated ids give
-    repeated rows. An empty table gives an empty result. Other columns of ``docs`` are not read.
+    repeated rows. An empty table gives an empty result. Texts of any length are hashed whole, in pieces of bounded
+    size. Other columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash")
@@ -239,7 +243,7 @@ def _link(reps: Table, scratch: Scratch, distance: int, n_segments: int | None,
     plan = segment_plan(n_segments or segments_for(rows, distance), distance)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / 50_000))
     entries = reps.read().select("fp").repartition(parts, "fp").mapInArrow(_entries(plan), "key long, fp long")
-    dealt = buckets(entries, scratch, block)
+    dealt = buckets(scratch.save(entries, "entries").read(), scratch, block)
     sorted_rows = dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "fp")
     return components(spark, sorted_rows.mapInArrow(_verify(distance), "u long, v long"), scratch)
 

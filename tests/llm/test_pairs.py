@@ -85,6 +85,17 @@ def test_keep_one_keeps_the_smallest_id(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == sorted(set(groups.values()))
 
 
+def test_plans_of_every_size_have_a_ball():
+    for rows in (0, 10, 1_000, 100_000, 10**7, 10**9, 10**11):
+        assert any(radius for *_, radius in simhash.segment_plan(simhash.segments_for(rows)))
+
+
+def test_fingerprint_of_a_very_long_text():
+    rng = random.Random(12)
+    text = " ".join(f"{rng.choice(WORDS)}{rng.randrange(9)}" for _ in range(120_000))
+    assert simhash.fingerprint(text.encode()) == brute_fingerprint(text)
+
+
 @pytest.mark.parametrize("segments", [2, 3, 4, 5])
 def test_segment_plan_finds_every_distance(segments):
     rng = random.Random(segments)
