@@ -63,10 +63,25 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+#: First host labels of unwanted kinds in the tables.
+FAMILIES = ("adult", "casino-win", "free-bets", "ads-track", "cheap-pills", "spam-farm")
+
+
 def listed_urls(pages: DataFrame) -> DataFrame:
-    """The list of the query: URLs of the tables whose first host label names adult content."""
+    """The list of the query: URLs of every other page of the unwanted families, written in another way, and two URLs a page that no page has.
+
+    Pages of these families whose URL is on no listed page, in whatever spelling, are not on the list.
+    """
+    rest = F.substring_index("url", "://", -1)
+    hosts, paths = F.regexp_replace(urlfilter.host(F.col("url")), r"^www\.", ""), urlfilter.path(F.col("url"))
     label = F.regexp_extract(urlfilter.host(F.col("url")), r"^(?:www\.|m\.|blog\.)?([^.]*)", 1)
-    return pages.where(label.startswith("adult")).select("url")
+    family = F.exists(F.array(*[F.lit(f) for f in FAMILIES]), lambda f: label.startswith(f))
+    port = F.when(hosts.contains(":"), "").otherwise(":80")
+    query = F.regexp_extract(rest, r"^[^?#]*\?([^#]*)", 1)
+    other = F.concat(F.lit("HTTP://www."), F.upper(hosts), port, paths, F.lit("/?utm_source=list&"), query, F.lit("#top"))
+    known = pages.where(family & (F.col("page_id") % 2 == 0)).select(other.alias("url"))
+    unknown = pages.select(F.explode(F.array(*[F.concat(F.lit(f"http://archive{k}."), hosts, paths) for k in (1, 2)])).alias("url"))
+    return known.unionByName(unknown)
 
 
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,7 +196,7 @@ with u as (
     end as rule
   from s
 ), listed as (
-  select distinct key from c where starts_with(regexp_extract(host, '^(?:www\.|m\.|blog\.)?([^.]*)', 1), 'adult') and key <> ''
+  select distinct key from c where regexp_matches(regexp_extract(host, '^(?:www\.|m\.|blog\.)?([^.]*)', 1), '^(adult|casino-win|free-bets|ads-track|cheap-pills|spam-farm)') and page_id % 2 = 0 and key <> ''
 )
 select page_id, host, path, rule,
   case when rule in ('org/', 'com/fr/') then 'allow' when rule is not null then 'block'

@@ -170,6 +170,47 @@ def test_a_further_shard_moves_few_rows(spark):
     after = {r["id"]: r["shard"] for r in sharding.shard(df, shards=11, slack=0.25).collect()}
     assert max(Counter(after.values()).values()) <= math.ceil(4000 * 1.25 / 11)
     assert sum(before[i] != after[i] for i in before) < 0.25 * 4000
+    even, grown = ({r["id"]: r["shard"] for r in sharding.shard(df, shards=n).collect()} for n in (40, 41))
+    assert sum(even[i] != grown[i] for i in even) < 0.15 * 4000
+
+
+def clockwise(spark, rows, shards):
+    """Shard counts and places by walking the ring row by row: arcs in order, rows of an arc by hash and mark."""
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes = df.select("doc_id", F.xxhash64(F.lit("key"), F.col("doc_id").cast("string")).alias("h"), F.xxhash64(F.lit("row"), F.col("doc_id").cast("string"), "text").alias("m")).collect()
+    nodes, bits = sharding.ring(spark, shards), sharding.ring_bits(shards)
+    room = sharding.capacities(len(rows), shards)
+    out = []
+    for r in sorted(hashes, key=lambda r: ((r["h"] % 2**64) >> (64 - bits), r["h"], r["m"])):
+        arc = (r["h"] % 2**64) >> (64 - bits)
+        at = next((k for k, node in enumerate(nodes) if node[0] >= arc), 0)
+        while room[nodes[at % len(nodes)][1]] == 0:
+            at += 1
+        shard = nodes[at % len(nodes)][1]
+        room[shard] -= 1
+        out.append((r["doc_id"], shard))
+    return Counter(out)
+
+
+@pytest.mark.parametrize(("at_once", "partitions"), [(200_000, 1), (200_000, 7), (4, 3)])
+def test_shards_equal_a_walk_on_the_ring(spark, monkeypatch, at_once, partitions):
+    monkeypatch.setattr(sharding, "ROWS_AT_ONCE", at_once)
+    rows = [(i, f"t{i % 5}") for i in range(300)] + [(7, f"other {i}") for i in range(40)] + [(8, "same")] * 60 + [(None, None)] * 3
+    found = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions), shards=9).collect()
+    if at_once > 1000:
+        assert Counter((r["id"], r["shard"]) for r in found) == clockwise(spark, rows, 9)
+    counts = Counter(r["shard"] for r in found)
+    assert len(found) == len(rows) and max(counts.values()) - min(counts.values()) <= 1
+    assert all(sorted(r["slot"] for r in found if r["shard"] == s) == list(range(k)) for s, k in counts.items())
+
+
+@pytest.mark.parametrize("at_once", [200_000, 4])
+def test_shards_do_not_depend_on_partitions(spark, monkeypatch, at_once):
+    monkeypatch.setattr(sharding, "ROWS_AT_ONCE", at_once)
+    rows = [(i % 400, f"text {i % 390}") for i in range(1000)] + [(7, f"t{i}") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, seven = (Counter(map(tuple, sharding.shard(df.repartition(n)).collect())) for n in (1, 7))
+    assert one == seven
 
 
 def test_urls(spark):
@@ -197,7 +238,7 @@ def test_token_counts(spark):
     texts = [None, "", "<|endoftext|>", "  ", prose, "a" * 5000, prose * 3, "é" * 3000]
     library = Tokenizer.from_file(TOKENIZER)
     exact = [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
-    assert tokens.count_tokens([t or "" for t in texts], TOKENIZER, 1000, 200) == exact
+    assert tokens.count_tokens([(t or "").encode() for t in texts], TOKENIZER, 1000, 200) == exact
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("n_tokens", F.lit("clash"))
     got = {r["id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in tokens.token_counts(df, TOKENIZER).collect()}
     assert got == {i: (len((t or "").encode()), n, n > 1024) for i, (t, n) in enumerate(zip(texts, exact, strict=True))}
@@ -205,5 +246,17 @@ def test_token_counts(spark):
 
 
 def test_pieces_make_the_text():
-    text = "word " * 1000
-    assert "".join(tokens.pieces(text, 64)) == text and max(map(len, tokens.pieces(text, 64))) < 80
+    text = b"word " * 1000 + "日本 und so ".encode() * 50
+    assert b"".join(tokens.pieces(text, 64)) == text and max(map(len, tokens.pieces(text, 64))) < 100
+
+
+def test_batches_are_balanced_by_bytes():
+    texts = ["日本語" * 100, "a" * 900, "b c " * 900, "", "é" * 450] * 5
+    found = list(tokens.batches([t.encode() for t in texts], 2000, 1000))
+    assert all(sum(map(len, batch)) <= 2000 for _, batch in found)
+    assert all(sum(map(len, one[1])) + len(other[1][0]) > 2000 for one, other in zip(found, found[1:], strict=False))
+    whole = [b""] * len(texts)
+    for owners, batch in found:
+        for i, piece in zip(owners, batch, strict=True):
+            whole[i] += piece
+    assert [w.decode() for w in whole] == texts
