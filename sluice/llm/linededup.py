@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,35 +47,50 @@ def _shifts(i: int, less: int, edits: int) -> range:
     return range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)
 
 
-def _probes(line: Column, target: Column, less: int, edits: int, parent: Column, own: Column) -> list[Column]:
-    """Structs (key, home, start, n) of the substrings of ``line`` that can equal a segment of a line of the target length.
+def _probes(length: Column, target: Column, less: int, edits: int) -> list[tuple[int, bool, Column, Column, Column]]:
+    """(segment, whether unshifted, first character, characters, whether inside) of the substrings of a line that can equal a segment of one of the target length.
 
-    One of them equals its segment for every such line within the edits. With ``own`` true the line has the target
-    length itself, and its own segments are marked as home.
+    The line is ``less`` characters longer. One of them equals its segment for every such line within the edits.
     """
     out = []
     for i in range(edits + 1):
         first, n = _segment(target, i, edits)
         for shift in _shifts(i, less, edits):
             start = first + shift
-            inside = (start >= 1) & (start + n - 1 <= F.length(line))
-            key = F.xxhash64(parent, target.cast("int"), F.lit(i), F.substring(line, start, n))
-            home = own if less == 0 and shift == 0 else F.lit(False)
-            out.append(F.when(inside, F.struct(key.alias("key"), home.alias("home"), start.alias("start"), n.alias("n"))))
+            out.append((i, less == 0 and shift == 0, start, n, (start >= 1) & (start + n - 1 <= length)))
     return out
 
 
-def _line_entries(line: Column, edits: int, chars_an_edit: int) -> Column:
-    """The entries (key, home, start, n, edits, rest_chars) of a line: its own segments, and its probes for lines as long or shorter."""
-    length, out = F.length(line), []
+def _key(parent: Column, target: Column, i: int, text: Column) -> Column:
+    return F.xxhash64(parent, target.cast("int"), F.lit(i), text)
+
+
+def _line_probes(line: Column, edits: int, chars_an_edit: int) -> list[tuple[Column, bool, Column, Column, Column, int, Column]]:
+    """(fits, home, key, start, n, edits, target) of a line's own segments, and of its probes for lines as long or shorter."""
+    out = []
     for less in range(edits + 1):
-        target = length - less
+        target = F.length(line) - less
         for t in range(max(1, less), edits + 1):
             fits = (target >= 1) & (allowed(target, edits, chars_an_edit) == t)
-            for probe in _probes(line, target, less, t, F.lit(0).cast("long"), F.lit(True)):
-                full = F.struct(probe["key"].alias("key"), probe["home"].alias("home"), probe["start"].alias("start"), probe["n"].alias("n"), F.lit(t).alias("edits"), (target - probe["n"]).alias("rest_chars"))
-                out.append(F.when(fits & probe.isNotNull(), full))
-    return F.array_compact(F.array(*out))
+            for i, home, start, n, inside in _probes(F.length(line), target, less, t):
+                out.append((fits & inside, home, _key(F.lit(0).cast("long"), target, i, F.substring(line, start, n)), start, n, t, target))
+    return out
+
+
+def _line_keys(line: Column, edits: int, chars_an_edit: int) -> tuple[Column, Column]:
+    """(keys of a line's own segments, keys of its probes), null where there is none."""
+    probes = _line_probes(line, edits, chars_an_edit)
+    home, other = ([F.when(fits, key) for fits, own, key, *_ in probes if own is wanted] for wanted in (True, False))
+    return F.array(*home), F.array(*other)
+
+
+def _line_entries(line: Column, edits: int, chars_an_edit: int) -> Column:
+    """The entries (key, home, start, n, edits, rest_chars) of a line."""
+    made = [
+        F.when(fits, F.struct(key.alias("key"), F.lit(home).alias("home"), start.alias("start"), n.alias("n"), F.lit(t).alias("edits"), (target - n).alias("rest_chars")))
+        for fits, home, key, start, n, t, target in _line_probes(line, edits, chars_an_edit)
+    ]
+    return F.array_compact(F.array(*made))
 
 
 def _let(value: Column, body) -> Column:
@@ -205,30 +222,33 @@ def _refined(entries: DataFrame, scratch: Scratch, edits: int) -> tuple[list[Dat
         go = one.where((F.col("n") > HOT) & ~last).select("key")
         if go.isEmpty():
             return ready, links
-        less, found = F.length("rest") - F.col("rest_chars"), []
+        less, found = size - F.col("rest_chars"), []
         for t in range(1, edits + 1):
             for by in range(t + 1):
                 fits = (F.col("edits") == t) & (less == by)
-                found += [F.when(fits, p) for p in _probes(F.col("rest"), F.col("rest_chars"), by, t, F.col("key"), F.col("home"))]
+                for i, home, start, n, inside in _probes(size, F.col("rest_chars"), by, t):
+                    key = _key(F.col("key"), F.col("rest_chars"), i, F.substring("rest", start, n))
+                    found.append(F.when(fits & inside, F.struct(key.alias("key"), (F.col("home") & F.lit(home)).alias("home"), start.alias("start"), n.alias("n"))))
         parts = cleared.read().join(go, "key", "left_semi").select("line_id", "edits", "rest_chars", "rest", F.explode(F.array_compact(F.array(*found))).alias("e"))
         rest = F.concat(F.left("rest", F.col("e.start") - 1), F.substr("rest", F.col("e.start") + F.col("e.n")))
         parts = parts.select(F.col("e.key").alias("key"), "line_id", F.col("e.home").alias("home"), "edits", (F.col("rest_chars") - F.col("e.n")).alias("rest_chars"), rest.alias("rest"))
         entries = scratch.save(parts.select(*fields).distinct(), "entries").read()
 
 
-def _candidates(lines: DataFrame, scratch: Scratch, edits: int, chars_an_edit: int) -> tuple[DataFrame, Table]:
-    """(entries (key, line_id, home) of keys that different lines share, one of them by its own segment; links that need no pair)."""
-    every = F.transform(_line_entries(F.col("line"), edits, chars_an_edit), lambda e: F.struct(e["key"].alias("key"), e["home"].alias("home")))
-    unique = lines.select(_line_id(F.col("line")).alias("line_id"), every.alias("entries")).groupBy("line_id").agg(F.first("entries").alias("entries"))
-    unique = scratch.save(unique.select("line_id", F.explode("entries").alias("e")).select("line_id", "e.key", "e.home"), "lines").read()
+def _candidates(lines: DataFrame, scratch: Scratch, edits: int, chars_an_edit: int) -> tuple[DataFrame, Table | None]:
+    """(entries (key, line_id, home) of keys that different lines share, one of them by its own segment; links that need no pair, if any)."""
+    home, other = _line_keys(F.col("line"), edits, chars_an_edit)
+    unique = lines.select(_line_id(F.col("line")).alias("line_id"), home.alias("own"), other.alias("probe")).groupBy("line_id").agg(F.first("own").alias("own"), F.first("probe").alias("probe"))
+    unique = scratch.save(unique, "lines").read()
+    marked = F.concat(F.transform("own", lambda k: F.struct(k.alias("key"), F.lit(True).alias("home"))), F.transform("probe", lambda k: F.struct(k.alias("key"), F.lit(False).alias("home"))))
+    unique = unique.select("line_id", F.explode_outer(marked).alias("e")).select("line_id", "e.key", "e.home").where("key is not null")
     mark = F.xxhash64("line_id")
     shared = unique.groupBy("key").agg(F.min(mark).alias("low"), F.max(mark).alias("high"), F.max("home").alias("any_home"), F.count(F.lit(1)).alias("n"))
     shared = scratch.save(shared.where("any_home and low <> high").select("key", "n"), "keys")
     cold = unique.join(shared.fitting().where(F.col("n") <= HOT).select("key"), "key").distinct()
-    none = lines.sparkSession.createDataFrame([], "u binary, v binary")
     hot = scratch.save(shared.read().where(F.col("n") > HOT).select("key"), "hot")
     if hot.read().isEmpty():
-        return scratch.save(cold, "candidates").read(), scratch.save(none, "stars")
+        return scratch.save(cold, "candidates").read(), None
     needed = scratch.save(unique.join(hot.fitting(), "key", "left_semi").select("line_id").distinct(), "hot-lines")
     texts = lines.select(_line_id(F.col("line")).alias("line_id"), "line").join(needed.fitting(), "line_id", "left_semi").groupBy("line_id").agg(F.first("line").alias("line"))
     parts = texts.select("line_id", "line", F.explode(_line_entries(F.col("line"), edits, chars_an_edit)).alias("e"))
@@ -237,9 +257,16 @@ def _candidates(lines: DataFrame, scratch: Scratch, edits: int, chars_an_edit: i
     ready, links = _refined(scratch.save(parts, "hot-entries").read(), scratch, edits)
     for more in ready:
         cold = cold.unionByName(more)
-    for more in links:
-        none = none.unionByName(more)
-    return scratch.save(cold, "candidates").read(), scratch.save(none.distinct(), "stars")
+    stars = reduce(DataFrame.unionByName, links).distinct()
+    return scratch.save(cold, "candidates").read(), scratch.save(stars, "stars")
+
+
+def _unjoined(found: DataFrame, stars: Table, scratch: Scratch) -> DataFrame:
+    """Entries with the class of their line by known links, without keys all of whose lines are in one class."""
+    known = scratch.save(_classes(components(stars.spark, stars.read(), scratch).read()), "joined")
+    classed = found.join(known.fitting(), "line_id", "left").withColumn("class", F.coalesce("root", "line_id")).drop("root")
+    several = scratch.save(classed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key"), "several")
+    return scratch.save(classed.join(several.fitting(), "key", "left_semi"), "paired").read()
 
 
 def _dealt(entries: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -264,11 +291,7 @@ def links(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: s
     """
     lines = _lines(docs, id_col, text_col).select("line").where(F.length("line") >= chars_an_edit)
     found, stars = _candidates(lines, scratch, edits, chars_an_edit)
-    joined = _classes(components(lines.sparkSession, stars.read(), scratch).read())
-    known = scratch.save(joined, "joined")
-    classed = found.join(known.fitting(), "line_id", "left").withColumn("class", F.coalesce("root", "line_id")).drop("root")
-    several = scratch.save(classed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key"), "several")
-    found = scratch.save(classed.join(several.fitting(), "key", "left_semi"), "paired").read()
+    found = _unjoined(found, stars, scratch) if stars else found.withColumn("class", F.col("line_id"))
     needed = scratch.save(found.select("line_id").distinct(), "needed")
     texts = lines.select(_line_id(F.col("line")).alias("line_id"), "line").join(needed.fitting(), "line_id", "left_semi")
     texts = scratch.save(texts.groupBy("line_id").agg(F.first("line").alias("line")), "texts").read()
@@ -283,7 +306,8 @@ def links(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: s
     near = scratch.save(near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs").read()
     pairs = near.join(texts.select(F.col("line_id").alias("u"), F.col("line").alias("a")), "u").join(texts.select(F.col("line_id").alias("v"), F.col("line").alias("b")), "v")
     most = allowed(F.least(F.length("a"), F.length("b")), edits, chars_an_edit)
-    return pairs.where(F.coalesce(distance(F.col("a"), F.col("b"), edits) <= most, F.lit(False))).select("u", "v").unionByName(stars.read())
+    verified = pairs.where(F.coalesce(distance(F.col("a"), F.col("b"), edits) <= most, F.lit(False))).select("u", "v")
+    return verified.unionByName(stars.read()) if stars else verified
 
 
 def _classes(stars: DataFrame) -> DataFrame:
