@@ -28,38 +28,40 @@ def _checked(policy: Policy, columns: list[str], quiet: bool) -> None:
 
 
 def _profile(spark: SparkSession, args: argparse.Namespace) -> None:
-    df, policy = tables.read_table(spark, args.input), load_policy(args.policy)
+    df, policy = tables.read_table(spark, args.input, multiline=args.multiline), load_policy(args.policy)
     _checked(policy, df.columns, args.quiet)
     found = pipeline.compare(df, policy, args.clock) if args.compare else profile.profile(df, policy, args.clock)
     tables.write_json(found, args.out)
 
 
-def _inferred(spark: SparkSession, path: str, name: str, store: LearningStore) -> dict:
-    return infer.infer_policy(tables.read_table(spark, path).where(f"_row_id <= {INFER_ROWS}"), name, store)
+def _inferred(spark: SparkSession, path: str, name: str, store: LearningStore, multiline: bool) -> dict:
+    return infer.infer_policy(tables.read_table(spark, path, multiline=multiline).where(f"_row_id <= {INFER_ROWS}"), name, store)
 
 
 def _infer(spark: SparkSession, args: argparse.Namespace) -> None:
-    save_policy(_inferred(spark, args.input, args.name or Path(args.input).stem, LearningStore(args.store)), args.out)
+    save_policy(_inferred(spark, args.input, args.name or Path(args.input).stem, LearningStore(args.store), args.multiline), args.out)
 
 
 def _correct(spark: SparkSession, args: argparse.Namespace) -> None:
     store = LearningStore(args.store)
-    given = load_policy(args.policy) if args.policy else make_policy(_inferred(spark, args.input, Path(args.input).stem, store))
-    df = tables.read_table(spark, args.input)
+    given = load_policy(args.policy) if args.policy else make_policy(_inferred(spark, args.input, Path(args.input).stem, store, args.multiline))
+    df = tables.read_table(spark, args.input, multiline=args.multiline)
     _checked(given, df.columns, args.quiet)
-    result = pipeline.correct(df, given, args.clock, extensions=args.extensions)
-    table = result.table()
-    tables.write_output(table, args.out, "csv" if args.out.endswith(".csv") else given.output.format)
+    if given.output.save_intermediate:
+        tables.write_parquet(pipeline.cleaned(df, given)[0].drop("_events"), f"{args.out}.cleaned")
+    result = pipeline.correct(df, given, args.clock, extensions=args.extensions).written()
+    tables.write_output(result.table(), args.out, "csv" if args.out.endswith(".csv") else given.output.format)
     context = {"input": args.input, "dataset": given.dataset.name, "policy_hash": given.reproducibility.policy_hash}
     found = result.events()
-    events.write_audit(found, args.audit, args.audit_detail or given.output.audit_detail, context, result.clock)
+    if given.output.include_audit_log:
+        events.write_audit(found, args.audit, args.audit_detail or given.output.audit_detail, context, result.clock)
     if args.policy:
-        store.learn(given.to_dict())
+        store.learn(given, infer.BUILTIN)
     if args.report or args.report_md:
         after = profile.profile(result.table(keep_row_id=True), given, result.clock)
         made = report.build_report(profile.profile(df, given, result.clock), after, found, given, result.steps)
         if args.report:
-            tables.write_json(made, args.report)
+            tables.write_json(made if given.output.include_before_after_scores else {k: v for k, v in made.items() if k != "readiness"}, args.report)
         if args.report_md:
             Path(args.report_md).write_text(report.markdown(made), encoding="utf-8")
 
@@ -86,6 +88,7 @@ def parser() -> argparse.ArgumentParser:
     for p in (one, two, three):
         p.add_argument("--input", required=True)
         p.add_argument("--out", required=True)
+        p.add_argument("--multiline", action="store_true", help="quoted CSV fields may hold line ends; each file is then read by one task")
     one.add_argument("--policy", required=True)
     one.add_argument("--compare", action="store_true")
     which = two.add_mutually_exclusive_group(required=True)

@@ -119,12 +119,11 @@ def _residue(dayfirst: bool, yearfirst: bool):
     @F.pandas_udf(T.TimestampType())
     def run(values: pd.Series) -> pd.Series:
         def one(value):
-            if value is None:
-                return pd.NaT
             found = pd.to_datetime(value, errors="coerce", dayfirst=dayfirst, yearfirst=yearfirst)
             return found.tz_localize("UTC") if found is not pd.NaT and found.tzinfo is None else found
 
-        return pd.to_datetime(values.map(one), utc=True)
+        read = {v: one(v) for v in values.dropna().unique()}
+        return pd.to_datetime(values.map(lambda v: read.get(v, pd.NaT)), utc=True)
 
     return run
 

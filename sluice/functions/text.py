@@ -23,8 +23,8 @@ def _nfkc(values: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.StringType())
-def _without_marks(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: "".join(c for c in unicodedata.normalize("NFD", v) if unicodedata.category(c) != "Mn"), na_action="ignore")
+def _nfd(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: unicodedata.normalize("NFD", v), na_action="ignore")
 
 
 def _beyond_ascii(udf, text: Column) -> Column:
@@ -48,7 +48,7 @@ def collapse(text: Column) -> Column:
 
 def asciify(text: Column) -> Column:
     """Without combining marks, accents included."""
-    return _beyond_ascii(_without_marks, text)
+    return F.regexp_replace(_beyond_ascii(_nfd, text), r"\p{Mn}", "")
 
 
 def title(text: Column) -> Column:
@@ -67,14 +67,12 @@ def casefold(text: Column, mode: str) -> Column:
     return {"lower": F.lower, "upper": F.upper, "title": title}[mode](text)
 
 
-#: Up to so many entries a mapping is a literal map.
+#: Up to so many entries a mapping is a literal map; longer ones are joined (``standardize``).
 LITERAL_ENTRIES = 1000
 
 
 def mapped(text: Column, mapping: Mapping[str, str]) -> Column:
     """Each value that is a key becomes its entry, once: entries are not mapped again."""
-    if len(mapping) > LITERAL_ENTRIES:
-        raise ValueError(f"a mapping has at most {LITERAL_ENTRIES} entries; join a table for more")
     pairs = [F.lit(x) for pair in mapping.items() for x in pair]
     table = F.create_map(*pairs)
     return F.when(F.map_contains_key(table, text), F.element_at(table, text)).otherwise(text) if mapping else text

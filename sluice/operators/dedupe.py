@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions.columns import DROPPED, RESERVED, ROW_ID, col, is_number
 from sluice.operators import events
+from sluice.operators.quantiles import quantiles
 from sluice.plans.policy import Policy
 
 
@@ -63,28 +64,27 @@ def ranked(df: DataFrame, keys: list[str], order: str = ROW_ID) -> DataFrame:
 
 
 def outlier_limits(df: DataFrame, policy: Policy) -> dict[str, tuple[float, float]]:
-    """(low, high) of each column: quartiles and 1.5 ranges, or mean and three deviations; caps by quantiles. One aggregation."""
+    """(low, high) of each column: quartiles and 1.5 ranges, or mean and three deviations; caps by quantiles, where the policy caps."""
     config = policy.outliers
     protected = set(policy.roles.protected_columns) if config.exclude_protected else set()
     names = [n for n in config.apply_to_columns if n in df.columns and n not in protected and is_number(df.schema[n].dataType)]
     if not config.enabled or not names:
         return {}
-    aggs = []
-    for i, n in enumerate(names):
-        value = F.nanvl(col(n).cast("double"), F.lit(None).cast("double"))
-        if config.method == "iqr":
-            aggs += [F.percentile(value, 0.25).alias(f"a{i}"), F.percentile(value, 0.75).alias(f"b{i}")]
-        else:
-            aggs += [F.avg(value).alias(f"a{i}"), F.stddev_samp(value).alias(f"b{i}")]
-        aggs += [F.percentile(value, q).alias(f"{s}{i}") for s, q in zip("lh", config.cap_quantiles, strict=True)]
-    row = df.where(~F.col(DROPPED)).agg(*aggs).first()
+    rows = df.where(~F.col(DROPPED))
+    values = {n: F.nanvl(col(n).cast("double"), F.lit(None).cast("double")) for n in names}
+    shares = [*((0.25, 0.75) if config.method == "iqr" else ()), *(config.cap_quantiles if config.action == "cap" else ())]
+    found = quantiles(rows, {n: (v, shares) for n, v in values.items()}) if shares else {}
+    row = {}
+    if config.method != "iqr":
+        row = rows.agg(*[f(v).alias(f"{a}{i}") for i, v in enumerate(values.values()) for a, f in (("a", F.avg), ("b", F.stddev_samp))]).first()
     out = {}
     for i, n in enumerate(names):
-        a, b = row[f"a{i}"], row[f"b{i}"]
+        a, b = found[n][:2] if config.method == "iqr" else (row[f"a{i}"], row[f"b{i}"])
         if a is None or b is None:
             continue
         spread = 1.5 * (b - a) if config.method == "iqr" else 3 * b
-        out[n] = (a - spread, (b if config.method == "iqr" else a) + spread, row[f"l{i}"], row[f"h{i}"])
+        low, high = a - spread, (b if config.method == "iqr" else a) + spread
+        out[n] = (low, high, *(found[n][-2:] if config.action == "cap" else (low, high)))
     return out
 
 

@@ -102,7 +102,9 @@ def footer(found: DataFrame, detail: str = "summary", context: dict[str, Any] |
 
 
 def json_line(record: dict[str, Any]) -> str:
-    return json.dumps(record, sort_keys=True, separators=(",", ":"), ensure_ascii=False, default=str)
+    from sluice.sources.tables import plain
+
+    return json.dumps(plain(record), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
 def write_audit(found: DataFrame, path: str | Path, detail: str = "summary", context: dict[str, Any] | None = None, clock: str | None = None) -> dict[str, Any]:

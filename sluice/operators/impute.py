@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +13,7 @@ from sluice.functions.columns import DROPPED, RESERVED, col, is_number, is_text,
 from sluice.functions.missing import missing
 from sluice.operators import events
 from sluice.operators.parse import PARSED
+from sluice.operators.quantiles import modes, quantiles
 from sluice.plans.policy import NUMBERS, TIMES, Policy
 
 BUCKETS = ("numeric", "datetime", "categorical")
@@ -82,17 +83,8 @@ def known_value(statistics: dict[str, dict[str, Any]] | None, name: str, strateg
     return (statistics or {}).get(name, {}).get(strategy)
 
 
-def _statistic(strategy: str, bucket: str, kind: T.DataType, present: Column) -> Column | None:
-    if strategy in ("mean", "median") and is_number(kind):
-        return F.avg(present) if strategy == "mean" else F.median(present)
-    return F.mode(present, True) if strategy == "mode" and bucket == "categorical" else None
-
-
-def plan(df: DataFrame, policy: Policy, statistics: dict[str, dict[str, Any]] | None = None) -> list[dict[str, Any]]:
-    """What to do with each column: one aggregation over all rows gives shares and statistics, as a row on the driver.
-
-    Statistics of an earlier run may be given instead, by column and strategy.
-    """
+def _fillable(df: DataFrame, policy: Policy) -> list[tuple[str, str, Any]]:
+    """(column, bucket, rules) of every column that the policy may fill."""
     config = policy.missing_data
     if not config.enabled:
         return []
@@ -103,22 +95,47 @@ def plan(df: DataFrame, policy: Policy, statistics: dict[str, dict[str, Any]] |
         own = getattr(config.imputation, bucket) if bucket else None
         if own and (own.default != "none" or own.constants):
             todo.append((name, bucket, own))
+    return todo
+
+
+def needs_statistics(df: DataFrame, policy: Policy, statistics: dict[str, dict[str, Any]] | None = None) -> bool:
+    """Whether a plan reads the rows more than once: it does for medians and modes that are not given."""
+    wanted = [(n, own.default) for n, _, own in _fillable(df, policy) if own.default in ("mean", "median", "mode") and n not in own.constants]
+    return any(known_value(statistics, n, s) is None for n, s in wanted)
+
+
+def plan(df: DataFrame, policy: Policy, statistics: dict[str, dict[str, Any]] | None = None) -> list[dict[str, Any]]:
+    """What to do with each column. One aggregation over all rows gives shares and means, as a row on the driver; medians
+    and modes come from ``quantiles``.
+
+    Statistics of an earlier run may be given instead, by column and strategy.
+    """
+    todo = _fillable(df, policy)
     if not todo:
         return []
-    aggs = []
+    rows = df.where(~F.col(DROPPED))
+    aggs, medians, most = [], {}, {}
     for i, (name, bucket, own) in enumerate(todo):
         kind = df.schema[name].dataType
         empty = missing(name, kind)
-        aggs.append(F.avg(empty.cast("double")).alias(f"share{i}"))
         present = F.when(~empty, col(name))
-        stat = None
-        if name not in own.constants and known_value(statistics, name, own.default) is None:
-            stat = _statistic(own.default, bucket, kind, present)
-        aggs.append((F.max(F.lit(None).cast("string")) if stat is None else stat).alias(f"stat{i}"))
-    row = df.where(~F.col(DROPPED)).agg(*aggs).first()
+        aggs.append(F.avg(empty.cast("double")).alias(f"share{i}"))
+        if name in own.constants or known_value(statistics, name, own.default) is not None:
+            continue
+        if own.default == "mean" and is_number(kind):
+            aggs.append(F.avg(present).alias(f"mean{i}"))
+        elif own.default == "median" and is_number(kind):
+            medians[name] = (present, [0.5])
+        elif own.default == "mode" and bucket == "categorical":
+            most[name] = present
+    row = rows.agg(*aggs).first().asDict()
+    # only columns with something to fill need their order or their counts
+    filled = {name for i, (name, _, own) in enumerate(todo) if row[f"share{i}"] and row[f"share{i}"] <= own.allow_if_missing_pct_leq}
+    found = {n: v[0] for n, v in quantiles(rows, {n: m for n, m in medians.items() if n in filled}).items()}
+    found |= modes(rows, {n: m for n, m in most.items() if n in filled})
     steps = []
     for i, (name, bucket, own) in enumerate(todo):
-        share, stat = row[f"share{i}"] or 0.0, row[f"stat{i}"]
+        share, stat = row[f"share{i}"] or 0.0, row.get(f"mean{i}", found.get(name))
         known = known_value(statistics, name, own.default)
         step = {"column": name, "bucket": bucket, "strategy": own.default, "fill": None, "missing_pct": share, "skipped": False}
         if not share:

@@ -14,6 +14,7 @@ from sluice.functions import numbers
 from sluice.functions.columns import RESERVED, col, is_number, text_of
 from sluice.functions.missing import missing_in_profile, null_like, stripped
 from sluice.operators.parse import PARSED, parse_boolean, with_datetime
+from sluice.operators.quantiles import quantiles
 from sluice.plans.policy import NUMBERS, TIMES, Policy
 from sluice.plans.score import readiness
 
@@ -30,7 +31,9 @@ def duplicate_rows(df: DataFrame, names: list[str]) -> int:
     """Rows that equal an earlier row in these columns; nulls are equal."""
     if not names:
         return 0
-    groups = df.groupBy(*[col(n) for n in names]).agg(F.count(F.lit(1)).alias("__n"))
+    # 128 bits stand for a row, nulls marked, so wide rows are not shuffled
+    cells = [c for n in names for c in (col(n), col(n).isNull())]
+    groups = df.groupBy(F.xxhash64(F.lit(1), *cells).alias("__h"), F.xxhash64(F.lit(2), *cells).alias("__i")).agg(F.count(F.lit(1)).alias("__n"))
     return groups.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0))).first()[0]
 
 
@@ -73,7 +76,7 @@ def parse_check(name: str, kind: T.DataType, target: str, policy: Policy):
 
 
 def _column_aggregates(df: DataFrame, names: list[str], policy: Policy) -> dict[str, Any]:
-    aggs = [F.count(F.lit(1)).alias("rows")]
+    aggs, medians = [F.count(F.lit(1)).alias("rows")], {}
     for i, n in enumerate(names):
         if policy.parsing.column_types.get(n) in TIMES:
             df = with_datetime(df, n, policy, f"__time{i}")
@@ -88,7 +91,8 @@ def _column_aggregates(df: DataFrame, names: list[str], policy: Policy) -> dict[
         if target in NUMBERS:
             value = col(n).cast("double") if is_number(kind) else numbers.profile_number(text_of(n, kind), policy.parsing.numeric.allow_commas, policy.parsing.numeric.allow_currency_symbols, policy.parsing.numeric.allow_percent_symbol)
             value = F.when(~empty, value)
-            aggs += [f(value).alias(f"{a}{i}") for a, f in (("min", F.min), ("max", F.max), ("mean", F.avg), ("std", F.stddev_samp), ("median", F.median), ("count", F.count))]
+            aggs += [f(value).alias(f"{a}{i}") for a, f in (("min", F.min), ("max", F.max), ("mean", F.avg), ("std", F.stddev_samp), ("count", F.count))]
+            medians[i] = (value, [0.5])
         elif target in TIMES:
             value = F.when(~empty, F.col(f"__time{i}"))
             aggs += [F.date_format(f(value), "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias(f"{a}{i}") for a, f in (("min", F.min), ("max", F.max))]
@@ -96,7 +100,7 @@ def _column_aggregates(df: DataFrame, names: list[str], policy: Policy) -> dict[
         aggs += [F.min(length).alias(f"minlen{i}"), F.max(length).alias(f"maxlen{i}"), F.avg(length).alias(f"avglen{i}")]
         if n + PARSED in df.columns:
             aggs.append(F.avg(F.when(~empty, col(n + PARSED).isNotNull().cast("double"))).alias(f"parsed{i}"))
-    return df.agg(*aggs).first().asDict()
+    return df.agg(*aggs).first().asDict() | {f"median{i}": m[0] for i, m in quantiles(df, medians).items()}
 
 
 def _stats(row: dict[str, Any], i: int, target: str | None) -> dict[str, Any]:
@@ -127,8 +131,8 @@ def now() -> str:
 def profile(df: DataFrame, policy: Policy, clock: str | None = None) -> dict[str, Any]:
     """Metadata, duplicates, a record for each column, and the readiness score.
 
-    Four aggregations read the table: scalar statistics, value counts, exact duplicates and key duplicates. The
-    driver receives a row for each column.
+    Aggregations read the table: scalar statistics, value counts, exact duplicates, key duplicates, and a few for the
+    medians. The driver receives a row for each column, and a bounded number of values around each median.
     """
     names = data_columns(df)
     row = _column_aggregates(df, names, policy)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from sluice.functions import text
 from sluice.functions.columns import RESERVED, col, is_text
 from sluice.operators import events
 from sluice.plans.policy import Policy
+from sluice.sources.scratch import BROADCAST_BYTES
 
 SECTION = "standardization"
 
@@ -47,6 +49,17 @@ def standardize(df: DataFrame, policy: Policy) -> DataFrame:
     mapped = [n for n in df.columns if n in config.mappings and n not in policy.roles.protected_columns]
     kinds = {f.name: f.dataType for f in df.schema.fields}
     for name in mapped:
-        if config.mappings[name]:
-            df = _step(df, [name], lambda n: text.mapped(col(n).cast("string"), config.mappings[n]).cast(kinds[n]), "value_mapping", f"{SECTION}.mappings")
+        entries = config.mappings[name]
+        if len(entries) > text.LITERAL_ENTRIES:
+            df = _joined(df, name, entries)
+            df = _step(df, [name], lambda n: F.when(col("__hit"), col("__entry").cast(kinds[n])).otherwise(col(n)), "value_mapping", f"{SECTION}.mappings").drop("__entry", "__hit")
+        elif entries:
+            df = _step(df, [name], lambda n, e=entries: text.mapped(col(n).cast("string"), e).cast(kinds[n]), "value_mapping", f"{SECTION}.mappings")
     return df
+
+
+def _joined(df: DataFrame, name: str, entries: Mapping[str, str]) -> DataFrame:
+    """Adds the entry of each value of a long mapping. The side is broadcast if its text is small enough."""
+    table = df.sparkSession.createDataFrame(list(entries.items()), "__of string, __entry string").withColumn("__hit", F.lit(True))
+    small = sum(len(k) + len(v) for k, v in entries.items()) <= BROADCAST_BYTES // 4
+    return df.join(F.broadcast(table) if small else table, col(name).cast("string") == F.col("__of"), "left").drop("__of")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -12,6 +12,7 @@ from sluice.functions.columns import DROPPED, EVENTS, ROW_ID, VIOLATIONS
 from sluice.operators import dedupe, events, impute, parse, profile, standardize, validity
 from sluice.plans.policy import Policy, against_columns
 from sluice.plans.score import delta
+from sluice.sources.scratch import Scratch
 
 
 @dataclass
@@ -25,6 +26,10 @@ class Result:
     rules: list[tuple[str, str, str]] = field(default_factory=list)
     dropped_columns: list[str] = field(default_factory=list)
 
+    def written(self) -> Result:
+        """The same result over rows that are written once: table, events, profile and report then read them, and no step runs again."""
+        return replace(self, rows=Scratch(self.rows.sparkSession, "corrected").save(self.rows, "rows").read())
+
     def table(self, keep_row_id: bool = False) -> DataFrame:
         out = events.kept(self.rows).drop(VIOLATIONS, *self.dropped_columns)
         return out if keep_row_id else out.drop(ROW_ID)
@@ -49,15 +54,18 @@ def cleaned(df: DataFrame, policy: Policy) -> tuple[DataFrame, list[tuple[str, s
 def correct(df: DataFrame, policy: Policy, clock: str | None = None, statistics: dict[str, dict[str, Any]] | None = None, extensions: bool = False) -> Result:
     """Standardise, parse, validate, drop rows without critical values, impute.
 
-    ``df`` has the row ids of ``sources.tables``. Imputation statistics come from one aggregation over the rows
-    that earlier phases keep, unless they are given. With ``extensions`` the policy's sections for duplicates,
-    outliers and missing shares act too, after parsing and before imputation.
+    ``df`` has the row ids of ``sources.tables``. Imputation statistics come from the rows that earlier phases keep,
+    unless they are given; where there are any, those rows are written first, so that they are cleaned once. With
+    ``extensions`` the policy's sections for duplicates, outliers and missing shares act too, after parsing and
+    before imputation.
     """
     errors, _ = against_columns(policy, df.columns)
     if errors:
         raise ValueError("; ".join(errors))
     rows, named = cleaned(df, policy)
     absent: list[str] = []
+    if extensions or impute.needs_statistics(rows, policy, statistics):
+        rows = Scratch(df.sparkSession, "cleaned").save(rows, "rows").read()
     if extensions:
         rows = impute.drop_sparse_rows(rows, policy)
         rows = dedupe.outliers(dedupe.deduplicate(rows, policy), policy)
@@ -69,15 +77,15 @@ def correct(df: DataFrame, policy: Policy, clock: str | None = None, statistics:
 def compare(df: DataFrame, policy: Policy, clock: str | None = None) -> dict[str, Any]:
     """The raw profile with the score of the corrected table beside it."""
     before = profile.profile(df, policy, clock)
-    after = profile.profile(correct(df, policy, clock).table(keep_row_id=True), policy, clock)
+    after = profile.profile(correct(df, policy, clock).written().table(keep_row_id=True), policy, clock)
     before["readiness"]["transformation"] = {"raw": before["readiness"]["score"], "optimized": after["readiness"]["score"], "delta": delta(before["readiness"], after["readiness"])}
     return before
 
 
-def row_local(df: DataFrame, policy: Policy, steps: list[dict[str, Any]] | None = None) -> DataFrame:
-    """The corrected rows by phases 1 to 4 and a given imputation plan: no aggregation, so it also fits a stream."""
-    rows, _ = cleaned(df, policy)
-    return impute.impute(rows, steps or [])
+def row_local(df: DataFrame, policy: Policy, steps: list[dict[str, Any]] | None = None, clock: str = "") -> Result:
+    """Phases 1 to 4 and a given imputation plan: no aggregation over rows, so it also fits a stream's batches."""
+    rows, named = cleaned(df, policy)
+    return Result(impute.impute(rows, steps or []), policy, clock, steps or [], named)
 
 
 def change_counts(result: Result) -> DataFrame:

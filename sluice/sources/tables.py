@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+import math
+from collections.abc import Mapping
 from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,18 +34,19 @@ def distinct_names(names: list[str]) -> list[str]:
     return out
 
 
-def read_csv(spark: SparkSession, path: str, limit: int | None = None, row_ids: bool = True, types: bool = True, separator: str = ",") -> DataFrame:
+def read_csv(spark: SparkSession, path: str, limit: int | None = None, row_ids: bool = True, types: bool = True, separator: str = ",", multiline: bool = False) -> DataFrame:
     """A CSV file with header as text columns, then typed as its values allow.
 
     Marks and spaces around names go, spaces before values go, empty and other null tokens become null. Lines with
-    too few fields are padded, lines with too many are dropped. Quoted fields may hold line ends.
+    too few fields are padded, lines with too many are dropped. Files are split among tasks; with ``multiline``
+    quoted fields may hold line ends, and each file is read by one task.
     """
-    header = spark.read.csv(path, header=False, multiLine=True, sep=separator, escape='"', ignoreLeadingWhiteSpace=True).first()
+    header = spark.read.csv(path, header=False, multiLine=multiline, sep=separator, escape='"', ignoreLeadingWhiteSpace=True).first()
     if header is None:
         return spark.createDataFrame([], T.StructType([]))
     names = distinct_names([v or f"Unnamed: {i}" for i, v in enumerate(header)])
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))] + [T.StructField("__over", T.StringType()), T.StructField(_CORRUPT, T.StringType())])
-    options = {"header": True, "enforceSchema": True, "multiLine": True, "sep": separator, "escape": '"', "ignoreLeadingWhiteSpace": True, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT, "nullValue": ""}
+    options = {"header": True, "enforceSchema": True, "multiLine": multiline, "sep": separator, "escape": '"', "ignoreLeadingWhiteSpace": True, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT, "nullValue": ""}
     df = spark.read.schema(schema).options(**options).csv(path)
     # one more field than the header has marks a line that is too long
     df = df.where(F.col("__over").isNull()).drop("__over", _CORRUPT)
@@ -54,11 +58,11 @@ def read_csv(spark: SparkSession, path: str, limit: int | None = None, row_ids:
     return typed_by_values(df) if types else df
 
 
-def read_table(spark: SparkSession, path: str, row_ids: bool = True) -> DataFrame:
+def read_table(spark: SparkSession, path: str, row_ids: bool = True, multiline: bool = False) -> DataFrame:
     """Any source by suffix: CSV, Excel, JSON lines, ORC, else Parquet."""
     low = path.lower()
     if low.endswith((".csv", ".txt", ".tsv")):
-        return read_csv(spark, path, row_ids=row_ids, separator="\t" if low.endswith(".tsv") else ",")
+        return read_csv(spark, path, row_ids=row_ids, separator="\t" if low.endswith(".tsv") else ",", multiline=multiline)
     if low.endswith((".xlsx", ".xls")):
         df = read_excel(spark, path)
     elif low.endswith((".json", ".jsonl")):
@@ -80,21 +84,19 @@ def read_excel(spark: SparkSession, path: str) -> DataFrame:
 def with_row_ids(df: DataFrame) -> DataFrame:
     """Row ids: a column of that name as whole numbers, else dense numbers from 1 in reading order.
 
-    Dense numbers need the rows of the partitions before: one count a partition, then a narrow projection.
+    Dense numbers need the rows of the partitions before: one count a partition, joined by broadcast.
     """
     if ROW_ID in df.columns:
         return df.withColumn(ROW_ID, F.floor(col(ROW_ID).cast("string").try_cast("double")).cast("long"))
-    place = F.monotonically_increasing_id()
-    counts = df.select(F.shiftright(place, 33).alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()
-    offsets, before = [], 0
-    for r in counts:
-        offsets += [F.lit(r["part"]), F.lit(before)]
-        before += r["n"]
-    if not offsets:
-        return df.withColumn(ROW_ID, F.lit(None).cast("long"))
-    marked = df.withColumn("__place", place)
-    start = F.element_at(F.create_map(*offsets), F.shiftright("__place", 33))
-    return marked.withColumn(ROW_ID, start + F.col("__place").bitwiseAND((1 << 33) - 1) + 1).drop("__place")
+    marked = df.withColumn("__place", F.monotonically_increasing_id())
+    part = F.shiftright("__place", 33)
+    counts = marked.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n"))
+    # one row a partition, so its running sum is small and so is the broadcast
+    before = F.sum("n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1))
+    starts = F.broadcast(counts.select("__part", F.coalesce(before, F.lit(0)).alias("__before")))
+    names = [col(c) for c in df.columns]
+    joined = marked.join(starts, part == F.col("__part"), "left")
+    return joined.select(*names, (F.col("__before") + F.col("__place").bitwiseAND((1 << 33) - 1) + 1).alias(ROW_ID))
 
 
 def typed_by_values(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -139,9 +141,20 @@ def write_output(df: DataFrame, path: str, form: str) -> None:
     {"csv": write_csv, "parquet": write_parquet}[form](df, path)
 
 
-def write_json(record: dict[str, Any], path: str | Path) -> None:
+def plain(value: Any) -> Any:
+    """A value that JSON has: numbers that are not finite become null, keys text, odd types text."""
+    if isinstance(value, Mapping):
+        return {str(k): plain(v) for k, v in value.items()}
+    if isinstance(value, (list, tuple, set)):
+        return [plain(v) for v in value]
+    if isinstance(value, float) and not math.isfinite(value):
+        return None
+    return value if value is None or isinstance(value, (bool, int, float, str)) else str(value)
+
+
+def write_json(record: Mapping[str, Any], path: str | Path) -> None:
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(record, sort_keys=True, indent=2, ensure_ascii=False, default=str) + "\n", encoding="utf-8")
+    Path(path).write_text(json.dumps(plain(record), sort_keys=True, indent=2, ensure_ascii=False, allow_nan=False) + "\n", encoding="utf-8")
 
 
 def read_json(path: str | Path) -> dict[str, Any]:

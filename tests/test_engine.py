@@ -2,13 +2,16 @@
 
 import datetime as dt
 import json
+import math
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from sluice import cli
 from sluice.functions import text
-from sluice.operators import dedupe, events, impute, profile
+from sluice.operators import dedupe, events, impute, profile, quantiles
 from sluice.plans import contracts, infer, pipeline, report
 from sluice.plans.learning import LearningStore
 from sluice.plans.policy import PolicyError, load_policy, make_policy, unknown_columns
@@ -128,6 +131,48 @@ def test_imputation_bounds_constants_and_given_statistics(spark):
     assert column(corrected(spark, values, "double", missing_data={"imputation": fixed})) == [1.0, -1.0, -1.0, 3.0]
 
 
+@pytest.mark.parametrize("near", [20_000, 5])
+def test_quantiles_are_exact(spark, monkeypatch, near):
+    monkeypatch.setattr(quantiles, "NEAR", near)
+    rng = random.Random(3)
+    rows = [(rng.choice([None, float("nan"), -math.inf, rng.gauss(0, 1), float(rng.randrange(4))]), 7.0 if i % 3 else None, i) for i in range(4000)]
+    df = spark.createDataFrame(rows, "a double, b double, c long").withColumn("d", F.lit(None).cast("double"))
+    shares = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+    got = quantiles.quantiles(df, {n: (F.col(n), shares) for n in "abcd"})
+    want = df.select(*[F.percentile(F.nanvl(F.col(n).cast("double"), F.lit(None)), shares).alias(n) for n in "abc"]).first()
+    for n in "abc":
+        assert got[n] == pytest.approx(want[n]), n
+    assert got["d"] == [None] * 6
+    texts = spark.createDataFrame([("x", "q"), ("y", None), ("y", None), ("x", None)], "a string, b string").withColumn("c", F.lit(None).cast("string"))
+    assert quantiles.modes(texts, {n: F.col(n) for n in "abc"}) == {"a": "x", "b": "q", "c": None}
+
+
+def test_long_mappings_are_joined(spark):
+    entries = {str(i): str(i + 1) for i in range(3000)}
+    result = corrected(spark, ["5", "2999", "x", None], standardization=QUIET["standardization"] | {"mappings": {"v": entries}})
+    assert column(result) == ["6", "3000", "x", None] and result.events().count() == 2
+
+
+def test_json_has_no_bare_words(tmp_path):
+    tables.write_json({"a": float("nan"), "b": [math.inf, {"c": dt.date(2024, 1, 1)}], 3: True}, tmp_path / "x.json")
+    assert json.loads((tmp_path / "x.json").read_text(), parse_constant=pytest.fail) == {"a": None, "b": [None, {"c": "2024-01-01"}], "3": True}
+    assert json.loads(events.json_line({"v": -math.inf}), parse_constant=pytest.fail) == {"v": None}
+
+
+def test_csv_with_line_ends_in_fields(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('a,b\n1,"two\nlines"\n2,c\n', encoding="utf-8")
+    assert [r["b"] for r in tables.read_csv(spark, str(tmp_path / "x.csv"), multiline=True).orderBy("_row_id").collect()] == ["two\nlines", "c"]
+
+
+def test_output_options(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("k,v\na,1\nb,x\n", encoding="utf-8")
+    (tmp_path / "p.yaml").write_text("output: {include_audit_log: false, include_before_after_scores: false, save_intermediate: true}\nparsing: {column_types: {v: float}}\n")
+    args = ["correct", "--input", str(tmp_path / "x.csv"), "--policy", str(tmp_path / "p.yaml"), "--out", str(tmp_path / "out"), "--audit", str(tmp_path / "a.jsonl"), "--report", str(tmp_path / "r.json")]
+    assert cli.main([*args, "--store", str(tmp_path / "s.json"), "--quiet"], spark) == 0
+    assert not (tmp_path / "a.jsonl").exists() and "readiness" not in json.loads((tmp_path / "r.json").read_text())
+    assert spark.read.parquet(str(tmp_path / "out.cleaned")).count() == 2
+
+
 def test_duplicates_and_sparse_rows(spark):
     df = spark.createDataFrame([(1, "a", 1), (2, "a", 1), (3, "a", 5), (4, None, 2), (5, None, 3)], "_row_id long, k string, n long")
     own = make_policy({"deduplication": {"keys": ["k"], "strategy": "keep_max", "order_by": "n"}})
@@ -224,13 +269,31 @@ def test_inferred_policy_corrects_its_table(spark, tmp_path):
 
 def test_learning(tmp_path):
     store = LearningStore(tmp_path / "s.json")
-    policy = {"parsing": {"currency_symbols": ["kr", "$"], "boolean_columns": {"a": {"true_values": ["Aye"]}}, "column_types": {"a": "boolean"}}, "roles": {"protected_columns": ["the_secret_col"]}}
-    assert store.learn(policy) == 4 and store.learn(policy) == 0
+    policy = {
+        "parsing": {"currency_symbols": ["kr", "$"], "boolean_columns": {"a": {"true_values": ["Aye"], "false_values": []}}, "column_types": {"a": "boolean"}},
+        "roles": {"protected_columns": ["the_secret_col"]},
+        "missing_data": {"imputation": {"numeric": {"default": "mean"}}},
+    }
+    assert store.learn(policy) == 6 and store.learn(policy) == 0
     again = LearningStore(tmp_path / "s.json")
-    assert again.data["protected_keywords"] == ["secret"] and again.data["bool_true_values"] == ["aye"]
-    assert infer.protected_name("my_secret", again.data["protected_keywords"])
+    assert again.known("protected_word") == ["secret", "col"] and again.known("yes") == ["aye"] and again.known("mark") == ["kr"]
+    assert again.mapping("fill") == {"numeric": "mean"} and again.mapping("column_type") == {"a": "boolean"}
+    assert again.learn({"missing_data": {"imputation": {"numeric": {"default": "median"}}}}) == 0
+    assert infer.protected_name("my_secret", again.known("protected_word")) and not infer.protected_name("my_secret")
+    assert infer.protected_name("Diagnosis_2") and infer.protected_name("firstname") and not infer.protected_name("sums")
     again.reset()
-    assert LearningStore(tmp_path / "s.json").summary()["learn_count"] == 0
+    assert LearningStore(tmp_path / "s.json").summary()["lessons"] == 0
+
+
+def test_inference_uses_lessons(spark, tmp_path):
+    store = LearningStore(tmp_path / "s.json")
+    store.learn({"parsing": {"currency_symbols": ["kr"]}, "missing_data": {"imputation": {"numeric": {"default": "mean"}}}})
+    rows = [(i, f"kr {i}", "USD 5 EUR", f"{1 + i % 12}/{1 + i % 28}/2024") for i in range(40)]
+    df = spark.createDataFrame(rows, "_row_id long, fee_amount string, odd string, date_started string")
+    found = infer.infer_policy(df, "t", store)
+    assert found["parsing"]["column_types"] == {"fee_amount": "float", "date_started": "datetime"} and found["parsing"]["currency_symbols"] == ["kr"]
+    assert found["missing_data"]["imputation"]["numeric"] == {"default": "mean"}
+    assert column(pipeline.correct(df, make_policy(found), CLOCK), "fee_amount")[7] == 7.0
 
 
 def test_report_names_violations(spark):
@@ -244,10 +307,16 @@ def test_report_names_violations(spark):
 
 
 def test_stream(spark, tmp_path):
-    rows = spark.createDataFrame([(1, " $5 "), (2, "x")], "_row_id long, v string")
+    rows = spark.createDataFrame([(1, " $5 "), (2, "x"), (3, "-1")], "_row_id long, v string")
     rows.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    policy = make_policy({"parsing": {"column_types": {"v": "float"}}})
-    correct_stream(stream, policy, str(tmp_path / "out"), str(tmp_path / "audit"), str(tmp_path / "check"), clock=CLOCK).awaitTermination(120)
-    assert sorted(r["v"] or 0 for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 5.0]
-    assert {r["reason"] for r in spark.read.json(str(tmp_path / "audit")).collect()} >= {"invalid_numeric", "trim_whitespace"}
+    policy = make_policy({"parsing": {"column_types": {"v": "float"}}, "validity_rules": {"on_violation": "null", "non_negative_columns": ["v"]}})
+    told = []
+    correct_stream(stream, policy, str(tmp_path / "out"), str(tmp_path / "audit"), str(tmp_path / "check"), clock=CLOCK, progress=lambda *b: told.append(b)).awaitTermination(120)
+    assert sorted(r["v"] or 0 for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 0, 5.0]
+    assert {r["reason"] for r in spark.read.json(str(tmp_path / "audit")).collect()} == {"invalid_numeric", "trim_whitespace", "non_negative: Value must be >= 0 (1 rows)"}
+    for _ in range(50):
+        if told:
+            break
+        time.sleep(0.1)
+    assert told[-1][2] == 3
