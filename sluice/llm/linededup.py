@@ -17,7 +17,7 @@ EDITS = 2
 CHARS_AN_EDIT = 5
 
 #: Keys with more lines are refined by further segments before any pair is made.
-HOT = 64
+HOT = 400
 
 #: Entries that are compared with one another in one piece of work, where refining is at its end.
 BLOCK = 1024
@@ -206,9 +206,8 @@ def _refined(entries: DataFrame, scratch: Scratch, edits: int) -> tuple[list[Dat
         )
         stats = stats.where("any_home and low <> high").withColumn("front", _common(F.col("a"), F.col("b"), F.left))
         stats = stats.withColumn("back", F.least(F.col("least") - F.col("front"), _common(F.col("c"), F.col("d"), F.left)))
-        cut = scratch.save(stats.select("key", "n", "front", "back"), "ends")
         short = F.substr("rest", F.col("front") + 1, size - F.col("front") - F.col("back"))
-        cleared = entries.join(cut.fitting(), "key").select("key", "line_id", "home", "edits", (F.col("rest_chars") - F.col("front") - F.col("back")).alias("rest_chars"), short.alias("rest"))
+        cleared = entries.join(stats.select("key", "front", "back"), "key").select("key", "line_id", "home", "edits", (F.col("rest_chars") - F.col("front") - F.col("back")).alias("rest_chars"), short.alias("rest"))
         cleared = scratch.save(cleared, "cleared")
         mark = F.xxhash64("line_id", "rest", "home")
         same = cleared.read().groupBy("key").agg(F.first("edits").alias("edits"), F.first("rest_chars").alias("left"), F.count(F.lit(1)).alias("n"), F.bit_xor(mark).alias("x"), F.sum(F.shiftrightunsigned(mark, 24)).alias("s"))
@@ -246,14 +245,14 @@ def _candidates(lines: DataFrame, scratch: Scratch, edits: int, chars_an_edit: i
     shared = unique.groupBy("key").agg(F.min(mark).alias("low"), F.max(mark).alias("high"), F.max("home").alias("any_home"), F.count(F.lit(1)).alias("n"))
     shared = scratch.save(shared.where("any_home and low <> high").select("key", "n"), "keys")
     cold = unique.join(shared.fitting().where(F.col("n") <= HOT).select("key"), "key").distinct()
-    hot = scratch.save(shared.read().where(F.col("n") > HOT).select("key"), "hot")
-    if hot.read().isEmpty():
+    hot = shared.fitting().where(F.col("n") > HOT).select("key")
+    if hot.isEmpty():
         return scratch.save(cold, "candidates").read(), None
-    needed = scratch.save(unique.join(hot.fitting(), "key", "left_semi").select("line_id").distinct(), "hot-lines")
+    needed = scratch.save(unique.join(hot, "key", "left_semi").select("line_id").distinct(), "hot-lines")
     texts = lines.select(_line_id(F.col("line")).alias("line_id"), "line").join(needed.fitting(), "line_id", "left_semi").groupBy("line_id").agg(F.first("line").alias("line"))
     parts = texts.select("line_id", "line", F.explode(_line_entries(F.col("line"), edits, chars_an_edit)).alias("e"))
     rest = F.concat(F.left("line", F.col("e.start") - 1), F.substr("line", F.col("e.start") + F.col("e.n")))
-    parts = parts.select("e.key", "line_id", "e.home", "e.edits", "e.rest_chars", rest.alias("rest")).join(hot.fitting(), "key", "left_semi").distinct()
+    parts = parts.select("e.key", "line_id", "e.home", "e.edits", "e.rest_chars", rest.alias("rest")).join(hot, "key", "left_semi").distinct()
     ready, links = _refined(scratch.save(parts, "hot-entries").read(), scratch, edits)
     for more in ready:
         cold = cold.unionByName(more)
@@ -269,8 +268,14 @@ def _unjoined(found: DataFrame, stars: Table, scratch: Scratch) -> DataFrame:
     return scratch.save(classed.join(several.fitting(), "key", "left_semi"), "paired").read()
 
 
-def _dealt(entries: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(home entries, all entries) with a block: those of keys over the block size are dealt out, so that no task pairs a whole one."""
+def _dealt(entries: DataFrame, scratch: Scratch, refined: bool) -> tuple[DataFrame, DataFrame]:
+    """(home entries, all entries) with a block: those of keys over the block size are dealt out, so that no task pairs a whole one.
+
+    Only refining can leave such keys.
+    """
+    if not refined:
+        with_block = entries.withColumn("block", F.lit(0))
+        return with_block.where("home"), with_block
     sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     large = scratch.save(sizes.where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks")), "large")
     if large.read().isEmpty():
@@ -297,7 +302,7 @@ def links(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: s
     texts = scratch.save(texts.groupBy("line_id").agg(F.first("line").alias("line")), "texts").read()
     counts = texts.select("line_id", F.length("line").alias("length"), *_letters(F.col("line")))
     names = ["class", "length", *[f"n{i}" for i in range(len(_ALPHABET) + 1)]]
-    home, every = _dealt(found.join(counts, "line_id"), scratch)
+    home, every = _dealt(found.join(counts, "line_id"), scratch, stars is not None)
     one = home.select("key", "block", F.col("line_id").alias("u"), *[F.col(n).alias(f"u_{n}") for n in names])
     other = every.select(F.col("key").alias("of"), F.col("block").alias("in"), F.col("line_id").alias("v"), *[F.col(n).alias(f"v_{n}") for n in names])
     apart = sum((F.abs(F.col(f"u_{n}") - F.col(f"v_{n}")) for n in names[2:]), F.lit(0))
@@ -355,7 +360,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _looked_up(occurrences: DataFrame, special: Table) -> DataFrame:
     """Occurrences with first and class_first of their line. Very frequent lines, of which there are few, are met by broadcast."""
-    if special.bytes() <= BROADCAST_BYTES:
+    if special.bytes() <= BROADCAST_BYTES // 4:  # rows are several times as large as written
         return occurrences.join(F.broadcast(special.read().drop("n")), "line_id", "left")
     rows = occurrences.count()
     often = F.col("n") > rows // HOT_LINES
