@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.shared import BROADCAST_BYTES, Scratch, ascii_lower
+from sluice.llm.shared import BROADCAST_BYTES, Scratch, Table, ascii_lower
 
 #: Words of a window that counts as contamination, and of the grams that are winnowed.
 WINDOW = 13
@@ -24,12 +24,12 @@ def match_words(text: Column) -> Column:
     return F.array_remove(F.split(low, _GAPS, -1), "")
 
 
-def _at(array: str, start: Column, n: int) -> list[Column]:
-    return [F.get(array, start + i) for i in range(n)]
+def _gram(hashes: str, start: Column, n: int) -> Column:
+    return F.xxhash64(F.lit(n), F.slice(hashes, start + 1, n))
 
 
-def _gram(hashes: str, start: Column, n: int) -> Column:
-    return F.xxhash64(F.lit(n), *_at(hashes, start, n))
+def _short_gram(hashes: str, start: Column, n: Column) -> Column:
+    return F.xxhash64((-n).cast("int"), F.slice(hashes, start + 1, n))
 
 
 def _upto(last: Column, make) -> Column:
@@ -37,43 +37,30 @@ def _upto(last: Column, make) -> Column:
     return F.transform(F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>")), make)
 
 
-def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Rows (fp, at, n, words, items): each different window once, its least gram hash, where that gram is, and the items that have it.
+def benchmark_windows(benchmark: DataFrame, scratch: Scratch, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> tuple[Table, Table]:
+    """Rows (wid, fp, at, n, words): each different window once, its least gram hash and where that gram is; rows (wid, item): the items that have it.
 
     Items of fewer words than a window are one window, of their own length, with the hash of all their words.
-    Items without words have no row.
+    Items without words have no row. ``wid`` is 128 bits of the window's words, which hold no space.
     """
     items = benchmark.select(F.coalesce(benchmark[id_col].cast("string"), F.lit("")).alias("item"), match_words(benchmark[text_col]).alias("words"))
     items = items.where(F.size("words") > 0)
     last = F.greatest(F.size("words") - window, F.lit(0))
     items = items.select("item", "words", F.explode(F.sequence(F.lit(0), last)).alias("start"))
-    cut = F.transform(F.sequence(F.lit(0), F.least(F.size("words"), F.lit(window)) - 1), lambda i: F.get("words", F.col("start") + i))
-    unique = items.select("item", cut.alias("words")).groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    cut = items.select("item", F.slice("words", F.col("start") + 1, window).alias("words"))
+    pairs = scratch.save(cut.select(F.unhex(F.md5(F.array_join("words", " ").cast("binary"))).alias("wid"), "item", "words"), "windows-of-items").read()
+    unique = pairs.groupBy("wid").agg(F.first("words").alias("words"))
     unique = unique.withColumn("n", F.size("words")).withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
-    grams = [_gram("h", F.lit(i), gram) for i in range(window - gram + 1)]
-    least = F.least(*grams) if len(grams) > 1 else grams[0]
-    place = F.lit(0)
-    for i in range(len(grams) - 1, -1, -1):
-        place = F.when(grams[i] == least, i).otherwise(place)
-    short = _short_gram("h", F.col("n"), window)
-    return unique.select(
-        F.when(F.col("n") == window, least).otherwise(short).alias("fp"),
-        F.when(F.col("n") == window, place).otherwise(0).alias("at"),
-        "n",
-        "words",
-        "items",
-    )
-
-
-def _short_gram(hashes: str, n: Column, window: int) -> Column:
-    out = F.lit(None).cast("long")
-    for size in range(1, window):
-        out = F.when(n == size, F.xxhash64(F.lit(-size), *_at(hashes, F.lit(0), size))).otherwise(out)
-    return out
+    grams = F.array(*[_gram("h", F.lit(i), gram) for i in range(window - gram + 1)])
+    whole = F.col("n") == window
+    unique = unique.withColumn("least", F.when(whole, F.array_min(grams))).withColumn("place", F.when(whole, F.array_position(grams, F.col("least")) - 1))
+    fp = F.coalesce("least", _short_gram("h", F.lit(0), F.col("n")))
+    windows = scratch.save(unique.select("wid", fp.alias("fp"), F.coalesce("place", F.lit(0)).cast("int").alias("at"), "n", "words"), "windows")
+    return windows, scratch.save(pairs.select("wid", "item").distinct(), "items")
 
 
 def _short_mark(n: int):
-    return lambda i: F.struct(F.xxhash64(F.lit(-n), *_at("h", i, n)).alias("fp"), i.alias("pos"))
+    return lambda i: F.struct(_short_gram("h", i, F.lit(n)).alias("fp"), i.alias("pos"))
 
 
 def _marks(docs: DataFrame, short: list[int], window: int, gram: int) -> DataFrame:
@@ -81,15 +68,16 @@ def _marks(docs: DataFrame, short: list[int], window: int, gram: int) -> DataFra
     docs = docs.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
     docs = docs.withColumn("g", _upto(F.size("h") - gram, lambda i: _gram("h", i, gram)))
     width = window - gram + 1
-    if width > 1:
-        docs = docs.withColumn("m", _upto(F.size("g") - width, lambda i: F.least(*_at("g", i, width))))
-        # a gram is marked if it is the least of any window that holds it
-        most = lambda at: F.greatest(*_at("m", at - (width - 1), width))
-    else:
-        docs = docs.withColumn("m", F.col("g"))
-        most = lambda at: F.get("m", at)
+    docs = docs.withColumn("m", _upto(F.size("g") - width, lambda i: F.array_min(F.slice("g", i + 1, width))))
+
+    def marked(p: Column) -> Column:
+        """A gram is marked if it is the least of any window that holds it."""
+        first = F.greatest(p["pos"] - (width - 1), F.lit(0))
+        holding = F.slice("m", first + 1, F.least(p["pos"], F.size("m") - 1) - first + 1)
+        return F.when(F.size("m") > 0, p["fp"] == F.array_max(holding)).otherwise(False)
+
     pairs = F.transform("g", lambda x, at: F.struct(x.alias("fp"), at.alias("pos")))
-    marks = [F.array(F.struct(F.lit(_SELF).cast("long").alias("fp"), F.lit(-1).alias("pos"))), F.filter(pairs, lambda p: p["fp"] == most(p["pos"]))]
+    marks = [F.array(F.struct(F.lit(_SELF).cast("long").alias("fp"), F.lit(-1).alias("pos"))), F.filter(pairs, marked)]
     marks += [_upto(F.size("h") - n, _short_mark(n)) for n in short]
     return docs.withColumn("marks", F.concat(*marks))
 
@@ -115,34 +103,32 @@ def contamination(
 
     Null text: no words. Null and repeated ids: each row counts on its own (``row`` tells them apart). Null item ids
     count as the empty string; equal items count once by id. Empty tables give empty results or no hits.
-    Other columns are not read.
+    Texts of any length are searched whole; a match carries its window's id, and items are looked up once for each
+    document and window. Other columns are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontaminate")
-    windows = scratch.save(benchmark_windows(benchmark, item_id_col, item_text_col, window, gram), "windows")
+    windows, of = benchmark_windows(benchmark, scratch, item_id_col, item_text_col, window, gram)
     short = sorted(r["n"] for r in windows.read().where(F.col("n") < window).select("n").distinct().collect())  # lengths below a window
     rows = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].alias("id"), match_words(docs[text_col]).alias("words"))
-    own = spark.range(1).select(
-        F.lit(_SELF).cast("long").alias("fp"), F.lit(0).alias("at"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("words"), F.array().cast("array<string>").alias("items")
-    )
-    table = windows.read().unionByName(own).select("fp", "at", "n", F.col("words").alias("other"), "items")
+    own = spark.range(1).select(F.lit(None).cast("binary").alias("wid"), F.lit(_SELF).cast("long").alias("fp"), F.lit(0).alias("at"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("words"))
+    table = windows.read().unionByName(own).select("wid", "fp", "at", "n", F.col("words").alias("other"))
     small = windows.bytes() <= broadcast_bytes
     if small:
         # the outer form: for the inner one Spark adds a filter on the array and pushes it, inlined, below the projections that make it
         marked = _marks(rows, short, window, gram).select("row", "id", "words", F.explode_outer("marks").alias("mark"))
-        met = marked.join(F.broadcast(table), F.col("mark.fp") == F.col("fp")).select("row", "id", "words", F.col("mark.pos").alias("pos"), "at", "n", "other", "items")
+        met = marked.join(F.broadcast(table), F.col("mark.fp") == F.col("fp")).select("row", "id", "words", F.col("mark.pos").alias("pos"), "wid", "at", "n", "other")
     else:
         rows = scratch.save(rows, "words").read()
         marked = _marks(rows, short, window, gram).select("row", F.explode_outer("marks").alias("mark")).select("row", "mark.fp", "mark.pos")
-        near = scratch.save(marked.join(table, "fp").select("row", "pos", "at", "n", "other", "items"), "near")
+        near = scratch.save(marked.join(table, "fp").select("row", "pos", "wid", "at", "n", "other"), "near")
         met = rows.join(near.read(), "row")
     start = F.col("pos") - F.col("at")
-    same = F.forall(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("words", start + i).eqNullSafe(F.get("other", i)))
     true = (F.col("pos") >= 0) & (F.col("n") > 0) & (start >= 0)
-    true = F.when(true, same).otherwise(False)
+    true = F.when(true, F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("n")) == F.col("other")).otherwise(False)
     # no filter here: it would be pushed into the join and keep it from being compiled with the scan
-    met = met.select("row", "id", F.size("words").cast("long").alias("n_words"), F.when(true, F.struct(start.alias("start"), F.col("n").alias("n"))).alias("span"), F.when(true, F.col("items")).alias("items"))
-    grouped = met.groupBy("row", "id").agg(F.max("n_words").alias("n_words"), F.sort_array(F.collect_set("span")).alias("spans"), F.collect_set("items").alias("items"))
+    met = met.select("row", "id", F.size("words").cast("long").alias("n_words"), F.when(true, F.struct(start.alias("start"), F.col("n").alias("n"))).alias("span"), F.when(true, F.col("wid")).alias("wid"))
+    grouped = met.groupBy("row", "id").agg(F.max("n_words").alias("n_words"), F.sort_array(F.collect_set("span")).alias("spans"), F.collect_set("wid").alias("wids"))
     state = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("end"))
 
     def cover(s, x):
@@ -150,7 +136,11 @@ def contamination(
         return F.struct((s["sum"] + F.greatest(F.lit(0), end - F.greatest(s["end"], x["start"]))).cast("long").alias("sum"), F.greatest(s["end"], end).alias("end"))
 
     hit = F.aggregate("spans", state, cover, lambda s: s["sum"])
-    return grouped.select("row", "id", "n_words", hit.alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"))
+    found = scratch.save(grouped.select("row", "id", "n_words", hit.alias("n_hit"), "wids"), "found")
+    pairs = found.read().where(F.size("wids") > 0).select("row", F.explode("wids").alias("wid")).join(of.fitting(broadcast_bytes), "wid")
+    items = scratch.save(pairs.groupBy(F.col("row").alias("in")).agg(F.sort_array(F.collect_set("item")).alias("items")), "items-met")
+    joined = found.read().join(items.fitting(), F.col("row") == F.col("in"), "left")
+    return joined.select("row", "id", "n_words", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def contaminated() -> Column:

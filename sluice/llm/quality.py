@@ -65,7 +65,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.transform("words", lambda w: F.xxhash64(w)).alias("h"),
     )
     none = F.array().cast("array<bigint>")
-    windows = F.transform(F.sequence(F.lit(0), F.size("h") - WINDOW), lambda at: F.xxhash64(*[F.get("h", at + i) for i in range(WINDOW)]))
+    windows = F.transform(F.sequence(F.lit(0), F.size("h") - WINDOW), lambda at: F.xxhash64(F.slice("h", at + 1, WINDOW)))
     plain = [c for c in hashed.columns if c != "h"]
     hashed = hashed.select(*plain, F.when(F.size("h") >= WINDOW, windows).otherwise(none).alias("win"))
     repeats = F.size(F.array_distinct("win")) < F.size("win")
@@ -108,7 +108,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
     """``measures`` with base_failed (under 10 words, or over a fifth of them in repeated windows) and kept.
 
     kept is false if base_failed, else whether every rule of the table holds. Null and empty texts have no words and
-    fail. Null and repeated ids keep their rows; an empty table gives an empty result; other columns are not read.
+    fail. Null and repeated ids keep their rows; an empty table gives an empty result; texts of any length are measured
+    whole; other columns are not read.
     """
     failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
     return measures(docs, id_col, text_col).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & verdict(rules))
