@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,35 +18,32 @@ from sluice.session import importable
 ORDERS = (1, 2, 3)
 DIMENSIONS = 1 << 16
 
-#: The classifier is fitted on at most so many labelled rows, those with the least hash of their id.
+#: The classifier is fitted on at most so many labelled rows, shared evenly among the labels. It is also the most labels
+#: that a model can have (the most frequent ones).
 FIT_ROWS = 2000
 
-#: Distinct labels that a model may have; more is an error.
-MAX_LABELS = 256
-
 UNDETERMINED = "und"
 
 _CHUNK = 1 << 17
 _PRIMES = (2654435761, 2246822519, 3266489917)
 
 
-def features(text: str, start: bool = True) -> np.ndarray:
-    """Indexes of all n-grams of a lower-cased text, in order of n; repeats stay."""
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+def features(codes: np.ndarray, starts: int) -> np.ndarray:
+    """Indexes of the n-grams of lower-cased characters that start in the first ``starts`` places, in order of n; repeats stay."""
     out = []
     hashed = np.zeros(len(codes), np.uint64)
     for n in ORDERS:
         hashed = hashed[: max(0, len(codes) - n + 1)]
         hashed = (hashed + codes[n - 1 :]) * np.uint64(_PRIMES[n - 1]) + np.uint64(n)
-        out.append(((hashed >> np.uint64(13)) ^ hashed) % np.uint64(DIMENSIONS))
+        out.append(((hashed[:starts] >> np.uint64(13)) ^ hashed[:starts]) % np.uint64(DIMENSIONS))
     return np.concatenate(out).astype(np.int64)
 
 
 def _chunks(text: str) -> Iterator[np.ndarray]:
-    """Features of long texts in pieces that overlap by the longest n-gram less one; shorter n-grams of the overlap count twice."""
-    step = _CHUNK
-    for at in range(0, max(1, len(text)), step):
-        yield features(text[at : at + step + max(ORDERS) - 1])
+    """Features of a text in pieces of bounded size; every n-gram is in the piece in which it starts."""
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    for at in range(0, max(1, len(codes)), _CHUNK):
+        yield features(codes[at : at + _CHUNK + max(ORDERS) - 1].astype(np.uint64), _CHUNK)
 
 
 def has_letter(text: str) -> bool:
@@ -62,7 +60,10 @@ class Model:
     def logits(self, text: str) -> np.ndarray:
         total, n = np.zeros(len(self.labels)), 0
         for found in _chunks(text):
-            total += self.weights[found].sum(axis=0, dtype=np.float64)
+            if len(found) < DIMENSIONS:
+                total += self.weights[found].sum(axis=0, dtype=np.float64)
+            else:  # as many rows of weights as features, however long the piece
+                total += np.bincount(found, minlength=DIMENSIONS) @ self.weights
             n += len(found)
         return total / max(n, 1) + self.bias
 
@@ -80,8 +81,12 @@ SCALE = 100.0
 
 
 def _counted(text: str) -> tuple[np.ndarray, np.ndarray]:
-    index, count = np.unique(np.concatenate(list(_chunks(text))), return_counts=True)
-    return index, count / count.sum() * SCALE
+    """(features, how often each occurs) of a text: at most DIMENSIONS of them, however long it is."""
+    total = np.zeros(DIMENSIONS, np.int64)
+    for found in _chunks(text):
+        total += np.bincount(found, minlength=DIMENSIONS)
+    index = np.flatnonzero(total)
+    return index, total[index]
 
 
 class Ftrl:
@@ -125,11 +130,11 @@ def _temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
-def fit(rows: list[tuple[str, str]], idf: np.ndarray, epochs: int = 2) -> Model:
-    """Fits on (text, label) rows; every fifth row calibrates the temperature instead."""
-    labels = sorted({label for _, label in rows})
+def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], idf: np.ndarray, epochs: int = 2) -> Model:
+    """Fits on rows (features, counts, label); every fifth row calibrates the temperature instead."""
+    labels = sorted({label for *_, label in rows})
     number = {label: i for i, label in enumerate(labels)}
-    fold = [(*_counted(text), number[label]) for text, label in rows if text]
+    fold = [(index, count / count.sum() * SCALE, number[label]) for index, count, label in rows if len(index)]
     train = [r for i, r in enumerate(fold) if i % 5 or len(fold) < 10]
     model = Ftrl(len(labels))
     for _ in range(epochs):
@@ -177,24 +182,59 @@ def inverse_frequencies(rows: DataFrame) -> np.ndarray:
     return np.where(idf > 0, np.log((1 + docs) / (1 + idf)) + 1.0, 0.0)
 
 
+def _counts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(batch.num_rows):
+            index, count = _counted(batch.column(2)[at].as_py())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1), batch.column(1).slice(at, 1), pa.array([index], pa.list_(pa.int64())), pa.array([count], pa.list_(pa.int64()))], names=["h", "lang", "index", "count"])
+
+
+def quotas(counts: dict[str, int], most: int) -> dict[str, int]:
+    """Rows of each label: equal shares of ``most``; what small labels leave goes to the others. At most ``most`` labels, the most frequent ones."""
+    out, left = {}, most
+    chosen = sorted(sorted(counts, key=lambda k: (-counts[k], k))[:most], key=lambda k: (counts[k], k))
+    for i, label in enumerate(chosen):
+        out[label] = min(counts[label], left // (len(chosen) - i))
+        left -= out[label]
+    return out
+
+
+def _sample(rows: DataFrame, fit_rows: int) -> list[tuple[np.ndarray, np.ndarray, str]]:
+    """Counted features of a sample in strata of labels: the rows of each label with the least hash of their id, ties by id and text.
+
+    A first cut by the hash itself, wide enough to leave every label its rows, keeps all other rows from the sort.
+    """
+    spark = rows.sparkSession
+    hashed = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit("fit"), "id"), 1))
+    most_frequent = hashed.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(fit_rows)
+    counts = {r["lang"]: r["n"] for r in most_frequent.collect()}
+    if not counts:
+        return []
+    shares = quotas(counts, fit_rows)
+    cuts = [(label, k, min(2**63 - 1, int(2**63 * min(1.0, (2 * k + 50) / counts[label])))) for label, k in shares.items()]
+    cuts = spark.createDataFrame(cuts, "of string, quota long, cut long")
+    near = hashed.join(F.broadcast(cuts), F.col("lang") == F.col("of")).where("h <= cut and text is not null")
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("h", "id", "text"))
+    chosen = near.withColumn("rank", rank).where("rank <= quota").select("h", "lang", "text")
+    found = chosen.mapInArrow(_counts_of, "h long, lang string, index array<long>, count array<long>").collect()
+    found = [(r["h"], r["lang"], np.array(r["index"], np.int64), np.array(r["count"], np.int64)) for r in found]
+    return [(index, count, label) for _, label, index, count in sorted(found, key=lambda r: (r[0], r[1], r[3].sum()))]
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> Model:
     """Learns from rows with text and label that are not held out: IDF from all of them, weights from ``fit_rows``.
 
-    The rows to fit are those with the least hash of their id; ties beyond the bound are cut by id and text. Without
-    any labelled row the model has no labels and says ``und`` for every text.
+    The rows to fit are an equal share for each label, so rare labels are learned too. Their features are counted in
+    tasks; the driver gets at most DIMENSIONS numbers of a row, however long its text. Without any labelled row the model has no
+    labels and says ``und`` for every text.
     """
     importable(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("string").alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"), held_out(docs[id_col]).alias("out"))
-    rows = rows.where("not out and text is not null and lang is not null")
-    order = F.xxhash64(F.lit("fit"), "id")
-    # ids first, without texts; then the texts of the chosen rows only
-    picked = rows.select(order.alias("h")).orderBy("h").limit(fit_rows).agg(F.max("h")).first()[0]
-    if picked is None:
+    rows = rows.where("not out and lang is not null").drop("out")
+    sample = _sample(rows, fit_rows)
+    if not sample:
         return Model([], np.zeros((DIMENSIONS, 0), np.float32), np.zeros(0), 1.0)
-    sample = rows.withColumn("h", order).where(F.col("h") <= picked).orderBy("h", "id", "text").limit(fit_rows).select("text", "lang").collect()
-    if len({r["lang"] for r in sample}) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels")
-    return fit([(r["text"], r["lang"]) for r in sample], inverse_frequencies(rows.select("text")))
+    return fit(sample, inverse_frequencies(rows.where("text is not null").select("text")))
 
 
 def _predictor(shared):
