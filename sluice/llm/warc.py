@@ -240,9 +240,14 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False, st
     if split.isEmpty():
         return rest
     # pieces of the records that are to be put together, by the last record start before each piece
-    starts = chain.select("file", "start", F.col("start").alias("owner"))
-    owner = F.last("owner", ignorenulls=True).over(W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, 0))
-    owned = placed.join(starts, ["file", "start"], "left").withColumn("owner", owner).select("file", "block", "rel", "start", "owner")
+    starts = chain.select("file", "start", F.col("start").alias("begun"))
+    owned = scratch.save(placed.join(starts, ["file", "start"], "left").select("file", "block", "rel", "start", "begun"), "begun").read()
+    # a split's first pieces belong to the last record that began in a split before it; there is one row a split
+    last = owned.groupBy("file", "block").agg(F.max("begun").alias("last"))
+    earlier = F.max("last").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    earlier = last.select("file", "block", earlier.alias("earlier"))
+    here = F.max("begun").over(W.partitionBy("file", "block").orderBy("start").rowsBetween(W.unboundedPreceding, 0))
+    owned = owned.join(earlier, ["file", "block"]).select("file", "block", "rel", "start", F.coalesce(here, "earlier").alias("owner"))
     keys = split.select("file", F.col("start").alias("owner"))
     needed = scratch.save(owned.join(keys, ["file", "owner"]), "needed")
     raw = _pieces(spark, path).mapInArrow(_raw, "file string, block long, rel long, piece binary")
