@@ -45,7 +45,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents with their copies and blocks in the flattest mixture that repeats no source over four times."""
+    """Every copy of all documents in the flattest mixture that repeats no source over four times, with its block and position."""
     found = mixing.mixture(_table(spark, sf_dir, "documents"))
     return found.withColumnRenamed("id", "doc_id")
 

@@ -101,26 +101,74 @@ def test_exponent_meets_its_target():
     assert mixing.weights({}, 0.5) == {}
 
 
-def test_mixture_fills_budgets(spark):
+def mixed_by_hand(spark, df, rows, max_repeats, blocks):
+    """The mixture by plain loops over the rows; hashes are Spark's."""
+    turn = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("turn")
+    hashed = df.select("doc_id", "text", mixing._source(df, "source").alias("source"), mixing._key(df, "doc_id", "text").alias("key"), turn)
+    hashed = hashed.select("*", mixing._place(F.col("key"), 0, F.col("turn")).alias("place"), mixing._rank_key(F.col("key"), 0, F.col("turn")).alias("order")).collect()
+    count = lambda t: len([w for w in (t or "").split() if w])
+    tokens = Counter()
+    for _, text, source in rows:
+        tokens[source or ""] += count(text)
+    sources = spark.createDataFrame(list(tokens.items()), "source string, tokens long")
+    planned = {r["source"]: r for r in mixing.plan(sources, None, max_repeats).collect()}
+    shares = mixing.weights(tokens, mixing.exponent_for(tokens, sum(tokens.values()), max_repeats))
+    assert all(planned[s]["weight"] == pytest.approx(w, abs=1e-9) for s, w in shares.items())
+    out = []
+    for source, total in tokens.items():
+        uses = planned[source]["repeats"]
+        for turn in range(max(1, math.ceil(uses))):
+            own = sorted((r for r in hashed if r["source"] == source and r["turn"] == turn), key=lambda r: r["place"])
+            for r in own:
+                share = turn + (sum(count(o["text"]) for o in own if o["place"] < r["place"]) / total if total else 0.0)
+                if share < uses:
+                    out.append([r["doc_id"], source, turn, min(blocks - 1, math.floor(share / uses * blocks)), r["order"]])
+                elif turn == 0:
+                    out.append([r["doc_id"], source, None, None, None])
+    for block in range(blocks):
+        for position, row in enumerate(sorted((r for r in out if r[3] == block), key=lambda r: r[4])):
+            row[4] = position
+    return out
+
+
+@pytest.mark.parametrize(("local", "parts"), [(100_000, 256), (0, 1)])
+def test_mixture_equals_a_plain_loop(spark, monkeypatch, local, parts):
+    monkeypatch.setattr(mixing, "LOCAL_SOURCES", local)
+    monkeypatch.setattr(mixing, "PARTS", parts)
     rng = random.Random(7)
-    rows = [(i, " ".join("w" * rng.randrange(1, 60)), rng.choice(["big"] * 12 + ["mid"] * 3 + ["tiny", None])) for i in range(800)] + [(None, None, "big"), (5, "", "empty")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("weight", F.lit("clash"))
+    rows = [(i, " ".join("w" * rng.randrange(1, 40)), rng.choice(["big"] * 12 + ["mid"] * 3 + ["tiny", None])) for i in range(500)]
+    rows += [(None, None, "big"), (5, "", "empty"), (6, None, "empty")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("weight", F.lit("clash")).withColumn("turn", F.lit("x"))
+    got = mixing.mixture(df, max_repeats=3.0, blocks=8).collect()
+    want = mixed_by_hand(spark, df, rows, 3.0, 8)
+    assert Counter((r["id"], r["source"], r["copy"], r["block"], r["position"]) for r in got) == Counter(map(tuple, want))
+    assert len({(r["block"], r["position"]) for r in got if r["copy"] is not None}) == sum(r["copy"] is not None for r in got)
+    mixed = mixing.mix(df, max_repeats=3.0, blocks=8)
+    assert mixed.columns == df.columns
+    order = [r["doc_id"] for r in mixed.collect()]
+    assert order == [r[0] for r in sorted((w for w in want if w[3] is not None), key=lambda r: (r[3], r[4]))]
+
+
+def test_mixture_keeps_weights_and_odd_rows(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join("w" * rng.randrange(1, 60)), rng.choice(["big"] * 12 + ["mid"] * 3 + ["tiny"])) for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = mixing.mixture(df, max_repeats=3.0).collect()
-    assert len(got) == len(rows)
-    whole = sum(r["n_tokens"] for r in got)
-    by = {}
-    for r in got:
-        have = by.setdefault(r["source"], [0, r["weight"], 0])
-        have[0] += r["n_tokens"] * r["copies"]
-        have[2] = max(have[2], r["n_tokens"])
-        assert len(r["blocks"]) == r["copies"] and all(0 <= b < mixing.BLOCKS for b in r["blocks"])
-    for source, (used, weight, longest) in by.items():
-        if source != "empty":
-            assert weight * whole - 1e-6 <= used <= weight * whole + longest
-    mixed = Counter(r["doc_id"] for r in mixing.mix(df, max_repeats=3.0).collect())
-    assert mixed == Counter({i: n for i, n in sum((Counter({r["id"]: r["copies"]}) for r in got), Counter()).items() if n})
-    assert mixing.mix(df).columns == df.columns
-    assert mixing.mixture(df.limit(0)).count() == 0
+    whole = sum(len(t.split()) for _, t, _ in rows)
+    for source in ("big", "mid", "tiny"):
+        own = [r for r in got if r["source"] == source]
+        used = sum(r["n_tokens"] for r in own if r["copy"] is not None)
+        assert own[0]["weight"] * whole - 1e-6 <= used <= own[0]["weight"] * whole + 60
+        assert {r["id"] for r in own} == {i for i, _, s in rows if s == source}
+    same = spark.createDataFrame([(1, "a b", "s")] * 3 + [(None, None, None)] * 2, df.schema)
+    assert sorted((r["id"] or 0, r["copy"]) for r in mixing.mixture(same).collect() if r["copy"] is not None) == [(1, 0)] * 3
+    assert mixing.mixture(same).count() == 5 and mixing.mix(same).count() == 3
+    assert mixing.mixture(df.limit(0)).count() == 0 and mixing.mix(df.limit(0)).count() == 0
+    turns = {}
+    for r in mixing.mixture(df.where("source = 'tiny'"), budget=3 * sum(len(t.split()) for _, t, s in rows if s == "tiny"), max_repeats=3.0).collect():
+        turns.setdefault(r["copy"], []).append((r["block"], r["position"], r["id"]))
+    orders = [tuple(i for *_, i in sorted(v)) for v in turns.values()]
+    assert len(orders) == 3 and len(set(orders)) == 3
 
 
 def texts_by_language(n):
@@ -148,10 +196,26 @@ def test_language_without_labels(spark):
 
 
 def test_language_long_text_is_read_whole():
-    model = langid.fit([(t, k) for _, t, k in texts_by_language(200)], langid.np.ones(langid.DIMENSIONS))
+    model = langid.fit([(*langid._counted(t), k) for _, t, k in texts_by_language(200)], langid.np.ones(langid.DIMENSIONS))
     assert model.predict("lorem ipsum " * 40_000 + "quick brown fox " * 200_000)[0] == "bb"
 
 
+def test_language_counts_every_ngram_once(monkeypatch):
+    text = "Ünd so weiter, " * 40
+    index, count = langid._counted(text)
+    monkeypatch.setattr(langid, "_CHUNK", 7)
+    cut = langid._counted(text)
+    assert (index == cut[0]).all() and (count == cut[1]).all() and count.sum() == 3 * len(text) - 3
+
+
+def test_language_learns_rare_labels(spark):
+    rare = [(10_000 + i, f"zorg blip {'qwax ' * (i % 4 + 1)}", "zz") for i in range(12)]
+    df = spark.createDataFrame([*texts_by_language(900), *rare], "doc_id long, text string, lang string")
+    model = langid.train(df, fit_rows=60)
+    assert model.labels == ["aa", "bb", "cc", "zz"] and model.predict("zorg blip qwax qwax")[0] == "zz"
+    assert langid.quotas({"a": 1000, "b": 3, "c": 500}, 60) == {"b": 3, "c": 28, "a": 29}
+
+
 @pytest.mark.parametrize("n", [0, 1, 39, 41, 1000])
 def test_shards_are_even(spark, n):
     df = spark.createDataFrame([(i if i % 3 else 7, "é" * (i % 50) if i % 9 else None) for i in range(n)], "doc_id long, text string").withColumn("shard", F.lit("x"))
