@@ -2,112 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import json
-import shutil
-import tempfile
-import uuid
-from collections.abc import Iterable, Sequence
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words are runs without ASCII white space; the class lists its six characters.
-SPACES = " \t\n\x0b\f\r"
-
-#: A side is broadcast only when its written size is at most so many bytes.
-BROADCAST_BYTES = 8 << 20
-
-_own_dir: list[str] = []
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local runs a temporary folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if not _own_dir:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        _own_dir.append(tempfile.mkdtemp(prefix="sluice-"))
-        atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
-    return f"file://{_own_dir[0]}"
-
-
-def _path(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    where, fs = _path(spark, path)
-    fs.delete(where, True)
-
-
-def path_bytes(spark: SparkSession, path: str) -> int:
-    """Bytes of the files below a path, on whatever store it lies."""
-    where, fs = _path(spark, path)
-    return fs.getContentSummary(where).getLength() if fs.exists(where) else 0
-
+from sluice.sources.scratch import BROADCAST_BYTES, Scratch, Table, path_bytes, remove, scratch_dir, write_text
 
-class Scratch:
-    """Tables written to the shared folder to cut lineage; they survive lost executors.
+__all__ = ["BROADCAST_BYTES", "SPACES", "Scratch", "Table", "ascii_lower", "path_bytes", "remove", "scratch_dir", "utf8_bytes", "words", "write_text"]
 
-    Tables stay until ``drop`` or the end of the driver, since a lazy result may still read them.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{scratch_dir(spark)}/sluice-{name}-{uuid.uuid4().hex}"
-        self.count = 0
-        atexit.register(self._clean)
-
-    def _clean(self) -> None:
-        try:
-            remove(self.spark, self.root)
-        except Exception:  # the session may have ended before the interpreter
-            pass
-
-    def new_path(self, name: str) -> str:
-        self.count += 1
-        return f"{self.root}/{self.count:04d}-{name}"
-
-    def save_rows(self, rows: Iterable[Sequence], schema: str, name: str) -> Table:
-        """A table of numbers and plain names from the driver, as one text file."""
-        path = self.new_path(name)
-        where, fs = _path(self.spark, f"{path}/part.json")
-        names = [f.split()[0] for f in schema.split(", ")]
-        out = fs.create(where)
-        out.write(bytearray("".join(json.dumps(dict(zip(names, r, strict=True))) + "\n" for r in rows), "utf-8"))
-        out.close()
-        found = self.spark.read.schema(schema).json(path)
-        return self.save(found, f"{name}-table")
-
-    def save(self, df: DataFrame, name: str) -> Table:
-        path = self.new_path(name)
-        df.write.parquet(path)
-        return Table(self.spark, path, df.schema)
-
-
-class Table:
-    """A written table."""
-
-    def __init__(self, spark: SparkSession, path: str, schema):
-        self.spark, self.path, self.schema = spark, path, schema
-
-    def read(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.path)
-
-    def bytes(self) -> int:
-        return path_bytes(self.spark, self.path)
-
-    def fitting(self, most: int = BROADCAST_BYTES) -> DataFrame:
-        """The table, marked for broadcast if its written size allows; otherwise Spark shuffles it."""
-        return F.broadcast(self.read()) if self.bytes() <= most else self.read()
-
-    def drop(self) -> None:
-        remove(self.spark, self.path)
+#: Words are runs without ASCII white space; the class lists its six characters.
+SPACES = " \t\n\x0b\f\r"
 
 
 def words(text):

@@ -257,12 +257,18 @@ def _with_fingerprint(n: int):
     return run
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE_WORDS, **options) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE_WORDS, similarity: float | None = None, **options) -> DataFrame:
     """The documents without near-duplicates: one of each group stays, the one with the smallest id.
 
-    Columns and types are those of ``docs``. Of several rows with that id one stays (that of the smallest
+    Groups are those of fingerprints within the distance, or with ``similarity`` those of documents whose sets of
+    shingles have at least that Jaccard similarity (``overlap``): a bound on shared shingles is met by few pairs of
+    close fingerprints, and by none that segment tables of 64 bits can find at a bearable size. Columns and types are those of ``docs``. Of several rows with that id one stays (that of the smallest
     fingerprint); a group of null ids keeps one row.
     """
+    if similarity is not None:
+        from sluice.llm import overlap
+
+        return overlap.keep_one(docs, id_col, text_col, n=n, similarity=similarity, **options)
     return keep_smallest(docs, near_duplicates(docs, id_col, text_col, n=n, **options), _with_fingerprint(n), id_col, text_col)
 
 
