@@ -58,8 +58,15 @@ def pattern(strptime: str) -> str:
     return "".join(out)
 
 
+#: Two-digit years after this one are of the century before.
+LAST_SHORT_YEAR = 2068
+
+
 def _try(text: Column, form: str) -> Column:
-    return F.try_to_timestamp(text, F.lit(form)).cast("timestamp_ntz")
+    found = F.try_to_timestamp(text, F.lit(form)).cast("timestamp_ntz")
+    if "yy" not in form.replace("yyyy", ""):
+        return found
+    return let(found, lambda t: F.when(F.year(t) > LAST_SHORT_YEAR, (t - F.make_ym_interval(F.lit(100))).cast("timestamp_ntz")).otherwise(t))
 
 
 def _ladder(dayfirst: bool, yearfirst: bool) -> list[str]:

@@ -111,7 +111,7 @@ def evidence(taken: DataFrame, yes: Sequence[str] = YES, no: Sequence[str] = NO,
     found = read.groupBy("column").agg(
         *(F.count(F.lit(1)).alias("n"), share(F.col("__number").isNotNull()).alias("number"), share(F.col("__time").isNotNull() & value.rlike(r"\d")).alias("datetime")),
         *(share(word.isin(*yes, *no)).alias("boolean"), F.sort_array(F.collect_set(F.when(word.isin(*yes), word))).alias("yes"), F.sort_array(F.collect_set(F.when(word.isin(*no), word))).alias("no")),
-        *(share(F.when(first, _whole(value, p))).alias(k) for k, p in (("email", EMAIL), ("phone", PHONE))),
+        *(F.avg(F.when(first, _whole(value, p).cast("double"))).alias(k) for k, p in (("email", EMAIL), ("phone", PHONE))),
         *(F.avg(F.length(value)).alias("length"), F.max(F.when(F.col("r") <= SHORT, F.length(value))).alias("longest")),
         F.array(*[F.struct(F.lit(f).alias("format"), share(_whole(value, format_pattern(f))).alias("share")) for f in FORMATS]).alias("formats"),
         F.array(*[F.struct(F.lit(m).alias("mark"), F.max(value.contains(m)).alias("seen")) for m in marks]).alias("marks"),

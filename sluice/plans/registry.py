@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions.columns import ROW_ID
 from sluice.operators import dedupe, events, impute, profile
-from sluice.plans import infer, pipeline, report
+from sluice.plans import pipeline
 from sluice.plans.policy import make_policy
 
 FLAGSHIP = "readiness_orders"
@@ -104,11 +104,15 @@ def _query(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    from sluice.plans import registry_more
+
+    return QUERIES | registry_more.QUERIES
 
 
 def oracles() -> dict[str, str]:
-    return dict(ORACLES)
+    from sluice.plans import registry_more
+
+    return ORACLES | registry_more.ORACLES
 
 
 @_query(
@@ -185,7 +189,7 @@ _STEPS = {
     "std_strip_nonprinting": ("strip", "strip_nonprinting", True, "'a' || regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g') || ' b'"),
     "std_asciify": ("asciify", "asciify", True, "strip_accents(text)"),
     "std_casefold_lower": ("lower", "casefold", "lower", "lower(text)"),
-    "std_casefold_upper": ("upper", "casefold", "upper", None),
+    "std_casefold_upper": ("upper", "casefold", "upper", "replace(upper(text), 'ẞ', 'SS')"),
 }
 for _name, (_flag, _key, _value, _sql) in _STEPS.items():
     QUERIES[_name] = _standardize(_flag, _key, _value)
@@ -363,13 +367,6 @@ def readiness_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(found["readiness"]["score"],)], "score double")
 
 
-@_query("readiness_delta")
-def readiness_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The score before and after a full correction."""
-    found = pipeline.compare(_orders(spark, sf_dir), make_policy(ORDERS_POLICY), CLOCK)["readiness"]["transformation"]
-    return spark.createDataFrame([(found["raw"], found["optimized"], found["delta"]["score"])], "raw double, optimized double, delta double")
-
-
 _SUMMARY = f"""SELECT 'parsing_failure' AS event_type, 'urgent' AS "column", 'invalid_boolean' AS reason, count(*) AS n FROM ({ORDERS_SQL}) WHERE urgent = 'maybe'
   UNION ALL SELECT 'row_dropped', '__row__', 'missing_critical_column', count(*) FROM ({ORDERS_SQL}) WHERE lower(trim(status)) = 'nan'"""
 
@@ -388,21 +385,6 @@ def audit_footer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(last["total_events"], last["unique_columns_touched"])], "total long, columns_touched long")
 
 
-@_query("report_top_columns")
-def report_top_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The columns that a full correction changes most."""
-    result = pipeline.correct(_orders(spark, sf_dir), make_policy(ORDERS_POLICY), CLOCK)
-    return report.top_columns(result.events())
-
-
-@_query("infer_types")
-def infer_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Types that inference gives the columns of dirty orders."""
-    found = infer.infer_policy(_orders(spark, sf_dir, "price", "day", "status", "urgent"), "orders")
-    rows = sorted(found["parsing"]["column_types"].items())
-    return spark.createDataFrame(rows, "column string, type string")
-
-
 def _deduped(strategy: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias(ROW_ID), "event_id", "user_id", "value")
@@ -453,10 +435,3 @@ def drop_columns_missing_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _events(spark, sf_dir, "event_id", "event_type", "value")
     policy = make_policy({"missing_data": {"drop_thresholds": {"col_missing_pct_gt": 0.15}}, "roles": {"protected_columns": ["event_type"]}})
     return df.drop(ROW_ID, *impute.sparse_columns(events.start(df), policy))
-
-
-@_query("full_correction")
-def full_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All phases over dirty orders."""
-    return pipeline.correct(_orders(spark, sf_dir), make_policy(ORDERS_POLICY), CLOCK).table()
-

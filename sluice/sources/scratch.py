@@ -7,7 +7,8 @@ import json
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 8 << 20
 
 _own_dir: list[str] = []
+_open: list["Scratch"] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -63,10 +65,12 @@ class Scratch:
         self.spark = spark
         self.root = f"{scratch_dir(spark)}/sluice-{name}-{uuid.uuid4().hex}"
         self.count = 0
-        atexit.register(self.drop)
+        _open.append(self)
 
     def drop(self) -> None:
         """Removes all tables; for callers that have taken what they need."""
+        if self in _open:
+            _open.remove(self)
         try:
             remove(self.spark, self.root)
         except Exception:  # the session may have ended before the interpreter
@@ -89,6 +93,23 @@ class Scratch:
         return Table(self.spark, path, df.schema)
 
 
+@contextmanager
+def passing() -> Iterator[None]:
+    """Removes, at its end, the scratch tables that were made within: for work whose result is written by then."""
+    before = list(_open)
+    try:
+        yield
+    finally:
+        for made in [s for s in _open if s not in before]:
+            made.drop()
+
+
+@atexit.register
+def _drop_all() -> None:
+    for made in list(_open):
+        made.drop()
+
+
 class Table:
     """A written table."""
 
