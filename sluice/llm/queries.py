@@ -92,8 +92,9 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated and nearly repeated lines of all documents."""
-    return linededup.line_report(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    """Repeated and nearly repeated lines of all documents, and the documents that have them first."""
+    found = linededup.line_report(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return found.withColumn("first_ids", F.array_join(F.transform("first_ids", lambda i: i.cast("string")), ","))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,4 +214,37 @@ select page_id, n as payload_bytes, d as payload_digest,
 from p left join g using (d)
 """
 
-ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op3_quality": OP3_SQL, "op4_decontaminate": OP4_SQL, "op8_urls": OP8_SQL}
+#: DuckDB's edit distance counts bytes: the letters beyond ASCII of the tables become single bytes that the tables lack.
+_BEYOND = "ÍéèÉßêíçÇÑÈóÓöüÖäÜñÊÄ"
+_ONE_BYTE = "".join(chr(c) for c in (*range(1, 9), *range(14, 32)))[: len(_BEYOND)]
+
+OP9_SQL = f"""
+with recursive parts as (
+  select doc_id, string_split(text, chr(10)) as p from documents where text is not null
+), places as (
+  select doc_id, i, p[i + 1] as line from (select doc_id, p, unnest(range(len(p))) as i from parts) where regexp_matches(p[i + 1], '[^ \\t-\\r]')
+), u as (
+  select line, row_number() over (order by line) as k, length(line) as n, translate(line, '{_BEYOND}', '{_ONE_BYTE}') as b from (select distinct line from places)
+), near as (
+  select a.k as x, b.k as y from u a join u b on a.k < b.k and b.n between a.n - {linededup.EDITS} and a.n + {linededup.EDITS}
+  where levenshtein(a.b, b.b) <= least({linededup.EDITS}, least(a.n, b.n) // {linededup.CHARS_AN_EDIT})
+), edges as (
+  select x, y from near union all select y, x from near
+), reach(k, r) as (
+  select distinct x, x from edges union select reach.k, edges.y from reach join edges on edges.x = reach.r
+), class as (
+  select k, min(r) as c from reach group by k
+), placed as (
+  select doc_id, i, k, coalesce(c, k) as c from places join u using (line) left join class using (k)
+), firsts as (
+  select *, first_value(struct_pack(d := doc_id, i := i)) over (partition by c order by doc_id, i) as class_first, first_value(struct_pack(d := doc_id, i := i)) over (partition by k order by doc_id, i) as own_first from placed
+), counted as (
+  select doc_id, count(*) as n_lines, count(*) filter (class_first.d <> doc_id or class_first.i <> i) as n_dup_lines, count(*) filter (class_first <> own_first) as n_near_lines,
+    array_to_string(list_sort(list(distinct class_first.d) filter (class_first.d <> doc_id or class_first.i <> i)), ',') as first_ids
+  from firsts group by doc_id
+)
+select doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_near_lines, 0) as n_near_lines, coalesce(first_ids, '') as first_ids
+from documents left join counted using (doc_id)
+""".replace("\\\\", "\\")
+
+ORACLES: dict[str, str] = {"op9_lines": OP9_SQL, "op2_warc": OP2_SQL, "op3_quality": OP3_SQL, "op4_decontaminate": OP4_SQL, "op8_urls": OP8_SQL}
