@@ -23,6 +23,9 @@ PARTS = 256
 #: Up to so many sources the bisection runs on the driver; beyond, each of its steps is an aggregation of the sources' totals.
 LOCAL_SOURCES = 100_000
 
+#: Bits of a random place.
+PLACE_BITS = 60
+
 _STEPS = 60
 _GRID = 31
 _MOST_EXPONENT = 2.0**40
@@ -118,7 +121,9 @@ def plan(sources: DataFrame, budget: float | None = None, max_repeats: float | N
     raw = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / F.lit(base), F.lit(exponent))).otherwise(0.0)
     norm = sources.agg(F.sum(raw)).first()[0]
     weight = raw / F.lit(norm)
-    return sources.select("source", "tokens", weight.alias("weight"), F.when(F.col("tokens") > 0, weight * F.lit(float(budget)) / F.col("tokens")).otherwise(0.0).alias("repeats"))
+    # rounded, so that a source at its limit is not over it by the last bit of a sum
+    uses = F.round(weight * F.lit(float(budget)) / F.col("tokens"), 9)
+    return sources.select("source", "tokens", weight.alias("weight"), F.when(F.col("tokens") > 0, uses).otherwise(0.0).alias("repeats"))
 
 
 def word_count(text: Column) -> Column:
@@ -131,21 +136,28 @@ def _source(docs: DataFrame, source_col: str) -> Column:
 
 def _key(docs: DataFrame, id_col: str, text_col: str) -> Column:
     """What a row's places follow from; rows equal in id and text share it."""
-    return F.xxhash64(docs[id_col].cast("string"), docs[text_col].cast("string"))
+    parts = [F.coalesce(docs[c].cast("string"), F.lit("")) for c in (id_col, text_col)]
+    return F.md5(F.concat(parts[0], F.lit(":"), parts[1]).cast("binary"))
+
+
+def _drawn(what: str, key: Column, seed: int, turn: Column) -> Column:
+    """A number of ``PLACE_BITS`` bits drawn for a key and a turn, by a hash that other engines have too."""
+    text = F.concat(F.lit(f"{what}:{seed}:"), turn.cast("string"), F.lit(":"), key)
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, PLACE_BITS // 4), 16, 10).cast("long")
 
 
 def _place(key: Column, seed: int, turn: Column) -> Column:
-    """A row's place in the permutation of one turn through its source: 63 bits, drawn anew for every turn."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit("place"), F.lit(seed), turn, key), 1)
+    """A row's place in the permutation of one turn through its source, drawn anew for every turn."""
+    return _drawn("place", key, seed, turn)
 
 
 def _rank_key(key: Column, seed: int, turn: Column) -> Column:
     """A copy's place in its block, among all sources."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit("order"), F.lit(seed), turn, key), 1)
+    return _drawn("order", key, seed, turn)
 
 
 def _part(place: Column) -> Column:
-    return F.shiftrightunsigned(place, 63 - int(math.log2(PARTS))).cast("int")
+    return F.shiftright(place, PLACE_BITS - int(math.log2(PARTS))).cast("int")
 
 
 def _turns() -> Column:

@@ -47,7 +47,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every copy of all documents in the flattest mixture that repeats no source over four times, with its block and position."""
     found = mixing.mixture(_table(spark, sf_dir, "documents"))
-    return found.withColumnRenamed("id", "doc_id")
+    return found.withColumnRenamed("id", "doc_id").withColumn("weight", F.round("weight", 9))
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,4 +247,43 @@ select doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_dup_lines, 0) as n_du
 from documents left join counted using (doc_id)
 """.replace("\\\\", "\\")
 
-ORACLES: dict[str, str] = {"op9_lines": OP9_SQL, "op2_warc": OP2_SQL, "op3_quality": OP3_SQL, "op4_decontaminate": OP4_SQL, "op8_urls": OP8_SQL}
+
+def _draw(what: str) -> str:
+    return f"cast('0x' || substr(md5('{what}:0:' || turn || ':' || key), 1, {mixing.PLACE_BITS // 4}) as bigint)"
+
+
+OP5_SQL = f"""
+with recursive d as (
+  select doc_id, coalesce(source, '') as source, len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+')) as n,
+    md5(coalesce(cast(doc_id as varchar), '') || ':' || coalesce(text, '')) as key from documents
+), tok as (
+  select source, cast(sum(n) as double) as t from d group by source
+), whole as (
+  select sum(t) as b from tok
+), steps(step, low, high) as (
+  select 0, cast(0 as double), cast(1 as double)
+  union all
+  select step + 1, case when over then mid else low end, case when over then high else mid end from (
+    select step, low, high, mid, (select max(pow(t / b, mid) / t) * max(b) / sum(pow(t / b, mid)) from tok, whole where t > 0) > {mixing.MAX_REPEATS} as over from (select *, (low + high) / 2 as mid from steps) as m
+  ) as o where step < {mixing._STEPS}
+), chosen as (
+  select case when (select max(b / t) / count(*) from tok, whole where t > 0) <= {mixing.MAX_REPEATS} then 0 else high end as x from steps where step = {mixing._STEPS}
+), shares as (
+  select source, t, case when t > 0 then pow(t / b, x) / (select sum(pow(t / b, x)) from tok, whole, chosen where t > 0) else 0 end as w, b from tok, whole, chosen
+), planned as (
+  select source, t, w, case when t > 0 then round(w * b / t, 9) else 0 end as uses from shares
+), turned as (
+  select doc_id, source, n, key, t, w, uses, unnest(range(greatest(cast(ceil(uses) as bigint), 1))) as turn from d join planned using (source)
+), placed as (
+  select *, {_draw("place")} as place, {_draw("order")} as ord from turned
+), offsets as (
+  select *, turn + case when t > 0 then coalesce(sum(n) over (partition by source, turn order by place range between unbounded preceding and 1 preceding), 0) / t else 0 end as share from placed
+), copies as (
+  select *, case when share < uses then least({mixing.BLOCKS - 1}, cast(floor(share / uses * {mixing.BLOCKS}) as integer)) end as block from offsets
+)
+select doc_id, source, cast(n as bigint) as n_tokens, round(w, 9) as weight, cast(case when block is not null then turn end as integer) as copy, block,
+  case when block is not null then row_number() over (partition by block order by ord, source, doc_id, turn) - 1 end as position
+from copies where block is not null or turn = 0
+""".replace("\\\\", "\\")
+
+ORACLES: dict[str, str] = {"op5_mixture": OP5_SQL, "op9_lines": OP9_SQL, "op2_warc": OP2_SQL, "op3_quality": OP3_SQL, "op4_decontaminate": OP4_SQL, "op8_urls": OP8_SQL}
