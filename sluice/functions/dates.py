@@ -19,13 +19,10 @@ _DIRECTIVES = {
     "b": "MMM", "B": "MMMM", "a": "E", "A": "EEEE", "z": "[XXX][XX][X]", "Z": "z", "j": "D",
 }
 
-_MONTH_FIRST = ("M/d/yyyy", "M-d-yyyy", "M.d.yyyy")
-_DAY_FIRST = ("d/M/yyyy", "d-M-yyyy", "d.M.yyyy")
 _CLOCKS = (" H:m:s", " H:m", " h:m:s a", " h:m a")
-_FIXED = (
-    *("yyyy-M-d", "yyyy/M/d", "yyyy.M.d", "yyyyMMdd"),
-    *("MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy", "d MMM yyyy", "d MMMM yyyy", "d-MMM-yyyy", "d-MMM-yy", "MMM yyyy", "MMMM yyyy"),
-)
+
+#: Shapes of values for the directives of a format; other directives take anything.
+_SHAPES = {"Y": r"\d{4,}", "y": r"\d{2}", "m": r"\d{1,2}", "d": r"\d{1,2}", "H": r"\d{1,2}", "I": r"\d{1,2}", "M": r"\d{1,2}", "S": r"\d{1,2}", "b": r"\p{L}{3}", "B": r"\p{L}+"}
 #: The first and last moment of a 64-bit count of nanoseconds.
 EARLIEST, LATEST = "1677-09-21 00:12:43.145225", "2262-04-11 23:47:16.854775"
 
@@ -69,11 +66,35 @@ def _try(text: Column, form: str) -> Column:
     return let(found, lambda t: F.when(F.year(t) > LAST_SHORT_YEAR, (t - F.make_ym_interval(F.lit(100))).cast("timestamp_ntz")).otherwise(t))
 
 
-def _ladder(dayfirst: bool, yearfirst: bool) -> list[str]:
-    dated = [*_FIXED[:4], *(_DAY_FIRST if dayfirst else _MONTH_FIRST), *(_MONTH_FIRST if dayfirst else _DAY_FIRST), *_FIXED[4:]]
-    short = ["M/d/yy", "d/M/yy"] if not dayfirst else ["d/M/yy", "M/d/yy"]
-    dated += ["yy/M/d", *short] if yearfirst else short
-    return dated
+def shape(strptime: str) -> str:
+    """A regular expression that every value of a format matches; a failed parse is dear, a failed match is not."""
+    pieces = re.findall(r"%.|[^%]+", strptime)
+    return "^" + "".join(_SHAPES.get(p[1], ".+") if p[0] == "%" and p != "%%" else re.escape(p.replace("%%", "%")) for p in pieces) + "$"
+
+
+def _ladder(dayfirst: bool, yearfirst: bool) -> list[tuple[str, list[str]]]:
+    """(shape, patterns to try in order) of common dates; a value has one shape, so it is parsed once or twice."""
+    order = (lambda forms: forms[::-1]) if dayfirst else (lambda forms: forms)
+    out = [(r"^\d{8}$", ["yyyyMMdd"])]
+    for mark in "-/.":
+        at = re.escape(mark)
+        out.append((rf"^\d{{4}}{at}\d{{1,2}}{at}\d{{1,2}}$", [mark.join(("yyyy", "M", "d"))]))
+        out.append((rf"^\d{{1,2}}{at}\d{{1,2}}{at}\d{{4}}$", order([mark.join(("M", "d", "yyyy")), mark.join(("d", "M", "yyyy"))])))
+    out.append((r"^\d{1,2}/\d{1,2}/\d{2}$", [*(["yy/M/d"] if yearfirst else []), *order(["M/d/yy", "d/M/yy"])]))
+    out.append((r"^[A-Za-z]{3} \d", ["MMM d, yyyy", "MMM d yyyy", "MMM yyyy"]))
+    out.append((r"^[A-Za-z]{4,} \d", ["MMMM d, yyyy", "MMMM d yyyy", "MMMM yyyy"]))
+    out.append((r"^\d{1,2} [A-Za-z]{3} ", ["d MMM yyyy"]))
+    out.append((r"^\d{1,2} [A-Za-z]{4,} ", ["d MMMM yyyy"]))
+    out.append((r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", ["d-MMM-yyyy"]))
+    out.append((r"^\d{1,2}-[A-Za-z]{3}-\d{2}$", ["d-MMM-yy"]))
+    return out
+
+
+def _by_shape(text: Column, dayfirst: bool, yearfirst: bool) -> Column:
+    out = F.lit(None).cast("timestamp_ntz")
+    for pattern_of, forms in reversed(_ladder(dayfirst, yearfirst)):
+        out = F.when(text.rlike(pattern_of), F.coalesce(*[_try(text, form) for form in forms])).otherwise(out)
+    return out
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -90,7 +111,7 @@ def _clock(text: Column) -> Column:
 def _patterns(plain: Column, dayfirst: bool, yearfirst: bool) -> Column:
     """A date by the ladder, with or without a time of day after it."""
     clock = r"( \d{1,2}:\d{2}(?::\d{2})?(?: ?[AaPp][Mm])?)$"
-    day = let(F.regexp_replace(plain, clock, ""), lambda t: F.coalesce(*[_try(t, form) for form in _ladder(dayfirst, yearfirst)]))
+    day = let(F.regexp_replace(plain, clock, ""), lambda t: _by_shape(t, dayfirst, yearfirst))
     time = F.regexp_replace(F.upper(stripped(F.regexp_extract(plain, clock, 1))), r"(?<=\d)([AP]M)$", " $1")
     return (day + F.make_interval(secs=let(time, _clock).cast("decimal(18,6)"))).cast("timestamp_ntz")
 
@@ -99,7 +120,7 @@ def ladder(text: Column, formats: Sequence[str] = (), dayfirst: bool = False, ye
     """Text as timestamp_ntz: the given strptime formats in order, ISO with or without zone, then common patterns."""
 
     def read(clean: Column) -> Column:
-        steps = [_try(clean, pattern(f)) for f in formats]
+        steps = [F.when(clean.rlike(shape(f)), _try(clean, pattern(f))) for f in formats]
         steps.append(F.when(clean.rlike(r"^\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{2}.*)?$"), clean.try_cast("timestamp").cast("timestamp_ntz")))
         plain = F.regexp_replace(clean, r"(?i)(?<=\d)(st|nd|rd|th)\b", "")
         steps.append(F.when(clean.rlike(r"\d"), let(plain, lambda p: _patterns(p, dayfirst, yearfirst))))
