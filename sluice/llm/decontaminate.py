@@ -24,12 +24,25 @@ def match_words(text: Column) -> Column:
     return F.array_remove(F.split(low, _GAPS, -1), "")
 
 
+def _at(array: str, start: Column, n: int) -> list[Column]:
+    """Elements one by one: a slice would copy the whole array at every place."""
+    return [F.get(array, start + i) for i in range(n)]
+
+
 def _gram(hashes: str, start: Column, n: int) -> Column:
-    return F.xxhash64(F.lit(n), F.slice(hashes, start + 1, n))
+    return F.xxhash64(F.lit(n), *_at(hashes, start, n))
+
+
+def _short_gram(hashes: str, start: Column, n: int) -> Column:
+    return F.xxhash64(F.lit(-n), *_at(hashes, start, n))
+
+
+def _least(values: list[Column]) -> Column:
+    return F.least(*values) if len(values) > 1 else values[0]
 
 
-def _short_gram(hashes: str, start: Column, n: Column) -> Column:
-    return F.xxhash64((-n).cast("int"), F.slice(hashes, start + 1, n))
+def _greatest(values: list[Column]) -> Column:
+    return F.greatest(*values) if len(values) > 1 else values[0]
 
 
 def _upto(last: Column, make) -> Column:
@@ -54,13 +67,13 @@ def benchmark_windows(benchmark: DataFrame, scratch: Scratch, id_col: str = "ite
     grams = F.array(*[_gram("h", F.lit(i), gram) for i in range(window - gram + 1)])
     whole = F.col("n") == window
     unique = unique.withColumn("least", F.when(whole, F.array_min(grams))).withColumn("place", F.when(whole, F.array_position(grams, F.col("least")) - 1))
-    fp = F.coalesce("least", _short_gram("h", F.lit(0), F.col("n")))
+    fp = F.coalesce("least", *[F.when(F.col("n") == n, _short_gram("h", F.lit(0), n)) for n in range(1, window)])
     windows = scratch.save(unique.select("wid", fp.alias("fp"), F.coalesce("place", F.lit(0)).cast("int").alias("at"), "n", "words"), "windows")
     return windows, scratch.save(pairs.select("wid", "item").distinct(), "items")
 
 
 def _short_mark(n: int):
-    return lambda i: F.struct(_short_gram("h", i, F.lit(n)).alias("fp"), i.alias("pos"))
+    return lambda i: F.struct(_short_gram("h", i, n).alias("fp"), i.alias("pos"))
 
 
 def _marks(docs: DataFrame, short: list[int], window: int, gram: int) -> DataFrame:
@@ -68,13 +81,11 @@ def _marks(docs: DataFrame, short: list[int], window: int, gram: int) -> DataFra
     docs = docs.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
     docs = docs.withColumn("g", _upto(F.size("h") - gram, lambda i: _gram("h", i, gram)))
     width = window - gram + 1
-    docs = docs.withColumn("m", _upto(F.size("g") - width, lambda i: F.array_min(F.slice("g", i + 1, width))))
+    docs = docs.withColumn("m", _upto(F.size("g") - width, lambda i: _least(_at("g", i, width))))
 
     def marked(p: Column) -> Column:
         """A gram is marked if it is the least of any window that holds it."""
-        first = F.greatest(p["pos"] - (width - 1), F.lit(0))
-        holding = F.slice("m", first + 1, F.least(p["pos"], F.size("m") - 1) - first + 1)
-        return F.when(F.size("m") > 0, p["fp"] == F.array_max(holding)).otherwise(False)
+        return p["fp"] == _greatest(_at("m", p["pos"] - (width - 1), width))
 
     pairs = F.transform("g", lambda x, at: F.struct(x.alias("fp"), at.alias("pos")))
     marks = [F.array(F.struct(F.lit(_SELF).cast("long").alias("fp"), F.lit(-1).alias("pos"))), F.filter(pairs, marked)]
@@ -125,7 +136,8 @@ def contamination(
         met = rows.join(near.read(), "row")
     start = F.col("pos") - F.col("at")
     true = (F.col("pos") >= 0) & (F.col("n") > 0) & (start >= 0)
-    true = F.when(true, F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("n")) == F.col("other")).otherwise(False)
+    same = F.forall(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("words", start + i).eqNullSafe(F.get("other", i)))
+    true = F.when(true, same).otherwise(False)
     # no filter here: it would be pushed into the join and keep it from being compiled with the scan
     met = met.select("row", "id", F.size("words").cast("long").alias("n_words"), F.when(true, F.struct(start.alias("start"), F.col("n").alias("n"))).alias("span"), F.when(true, F.col("wid")).alias("wid"))
     grouped = met.groupBy("row", "id").agg(F.max("n_words").alias("n_words"), F.sort_array(F.collect_set("span")).alias("spans"), F.collect_set("wid").alias("wids"))
