@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sluice.functions.columns import DROPPED, EVENTS, ROW_ID, col
+from sluice.sources.scratch import Scratch, join_text
 
 #: One event inside a row; the row id is the row's.
 EVENT = "struct<event_type:string,column:string,old_value:string,new_value:string,reason:string,policy_section:string>"
@@ -107,15 +108,30 @@ def json_line(record: dict[str, Any]) -> str:
     return json.dumps(plain(record), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
+def json_lines(found: DataFrame) -> DataFrame:
+    """The events as lines of ``json_line``, in the order of a log: null fields are left out, null values stay."""
+    fields = []
+    for name in sorted(found.columns):
+        one = F.to_json(F.struct(col(name)), {"ignoreNullFields": "false" if name.endswith("value") else "true"})
+        fields.append(F.substr(one, F.lit(2), F.length(one) - 2))
+    line = F.concat(F.lit("{"), F.array_join(F.array_remove(F.array(*fields), ""), ","), F.lit("}"))
+    return found.orderBy("column", "row_id", "event_type", "reason").select(line.alias("value"))
+
+
 def write_audit(found: DataFrame, path: str | Path, detail: str = "summary", context: dict[str, Any] | None = None, clock: str | None = None) -> dict[str, Any]:
-    """One JSONL file, footer last. Detailed lines are streamed to the driver partition by partition."""
+    """One JSONL file on the driver's disk, footer last. Detailed lines are written by tasks and copied there file by file, so none is held."""
     last = footer(found, detail, context, clock)
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    with Path(path).open("w", encoding="utf-8") as out:
-        if detail == "detailed":
-            for row in found.orderBy("column", "row_id", "event_type", "reason").toLocalIterator():
-                out.write(json_line({k: v for k, v in row.asDict(recursive=True).items() if v is not None or k.endswith("value")}) + "\n")
-        else:
+    if detail == "detailed":
+        scratch = Scratch(found.sparkSession, "audit")
+        parts = scratch.new_path("lines")
+        json_lines(found).write.text(parts)
+        join_text(found.sparkSession, parts, path)
+        scratch.drop()
+    else:
+        Path(path).write_text("", encoding="utf-8")
+    with Path(path).open("a", encoding="utf-8") as out:
+        if detail != "detailed":
             for row in summary(found).orderBy("event_type", "column", "reason").collect():
                 record = row.asDict(recursive=True)
                 shared = {k: record[k] for k in ("event_type", "column", "reason")}
@@ -130,4 +146,4 @@ def write_events(found: DataFrame, path: str) -> None:
     found.write.mode("overwrite").json(path)
 
 
-__all__ = ["EVENT", "ROW", "add", "col", "drop_rows", "event", "events", "footer", "kept", "start", "summary", "write_audit", "write_events"]
+__all__ = ["EVENT", "ROW", "add", "col", "drop_rows", "event", "events", "footer", "json_lines", "kept", "start", "summary", "write_audit", "write_events"]

@@ -43,13 +43,18 @@ def validate_audit_record(record: Any) -> None:
 
 
 def validate_audit_log(path: str | Path) -> None:
-    """Every line is a record, and the footer is the last one and the only one."""
-    records = [json.loads(line) for line in Path(path).read_text(encoding="utf-8").splitlines()]
-    if not records:
+    """Every line is a record, and the footer is the last one and the only one. One line is held at a time."""
+    kind, n = None, 0
+    with Path(path).open(encoding="utf-8", newline="\n") as lines:
+        for n, line in enumerate(lines, 1):
+            if kind == "job_summary":
+                raise ValueError("the job summary is not the last line alone")
+            record = json.loads(line)
+            validate_audit_record(record)
+            kind = record.get("type")
+    if not n:
         raise ValueError("the audit log is empty")
-    for record in records:
-        validate_audit_record(record)
-    if [r.get("type") == "job_summary" for r in records] != [False] * (len(records) - 1) + [True]:
+    if kind != "job_summary":
         raise ValueError("the job summary is not the last line alone")
 
 

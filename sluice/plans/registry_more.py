@@ -343,23 +343,28 @@ def audit_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_type", "column", "reason", F.col("count").alias("n"), F.explode("samples").alias("s")).select("event_type", "column", "reason", "n", "s.row_id", "s.old_value")
 
 
-def _log(spark: SparkSession, sf_dir: str, detail: str) -> list[dict[str, Any]]:
-    with tempfile.TemporaryDirectory() as folder:
-        events.write_audit(_audited(spark, sf_dir).events(), f"{folder}/a.jsonl", detail, {"job": "x"}, CLOCK)
-        contracts.validate_audit_log(f"{folder}/a.jsonl")
-        return [json.loads(line) for line in Path(f"{folder}/a.jsonl").read_text(encoding="utf-8").splitlines()]
+def _write_log(spark: SparkSession, sf_dir: str, folder: str, detail: str) -> Path:
+    path = Path(folder, "a.jsonl")
+    events.write_audit(_audited(spark, sf_dir).events(), path, detail, {"job": "x"}, CLOCK)
+    contracts.validate_audit_log(path)
+    return path
 
 
 @_query("audit_log", f'SELECT row_number() OVER (ORDER BY "column", row_id) AS line, event_type, "column", row_id FROM ({_AUDITED}) UNION ALL SELECT count(*) + 1, \'job_summary\', NULL, NULL FROM ({_AUDITED})')
 def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines of a detailed log in their order, the footer last."""
-    rows = [(i + 1, r.get("event_type", r.get("type")), r.get("column"), r.get("row_id")) for i, r in enumerate(_log(spark, sf_dir, "detailed"))]
-    return spark.createDataFrame(rows, "line long, event_type string, column string, row_id long")
+    """The lines of a detailed log in their order, the footer last; the log is read by tasks."""
+    with tempfile.TemporaryDirectory() as folder:
+        shared = Scratch(spark, "log").put(_write_log(spark, sf_dir, folder, "detailed"), "a.jsonl")
+    lines = tables.with_row_ids(spark.read.text(shared))
+    record = lines.select(F.col(ROW_ID).alias("line"), F.from_json("value", "type string, event_type string, column string, row_id long").alias("r"))
+    return record.select("line", F.coalesce("r.event_type", "r.type").alias("event_type"), "r.column", "r.row_id")
 
 
 @_query("audit_log_summary", f'SELECT event_type, "column", count(*) AS n, least(count(*), {events.SAMPLES}) AS samples FROM ({_AUDITED}) GROUP BY 1, 2 UNION ALL SELECT \'job_summary\', NULL, count(*), NULL FROM ({_AUDITED})')
 def audit_log_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _log(spark, sf_dir, "summary")
+    with tempfile.TemporaryDirectory() as folder:
+        path = _write_log(spark, sf_dir, folder, "summary")
+        found = [json.loads(line) for line in path.read_text(encoding="utf-8").splitlines()]
     rows = [(r["event_type"], r["column"], r["count"], len(r["samples"])) for r in found[:-1]] + [("job_summary", None, found[-1]["total_events"], None)]
     return spark.createDataFrame(rows, "event_type string, column string, n long, samples long")
 
@@ -415,7 +420,9 @@ def contract_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the validators say of records as they are made and of records that lack a key."""
     made = _report(spark, sf_dir)
     found = profile.profile(registry._orders(spark, sf_dir, "status"), make_policy(), CLOCK)
-    line = _log(spark, sf_dir, "detailed")[0]
+    with tempfile.TemporaryDirectory() as folder:
+        lines = _write_log(spark, sf_dir, folder, "detailed").read_text(encoding="utf-8").splitlines()
+    line = [json.loads(one) for one in lines][0]
     cases = {
         **{"audit": (contracts.validate_audit_record, line), "audit without reason": (contracts.validate_audit_record, {k: v for k, v in line.items() if k != "reason"})},
         **{"profile": (contracts.validate_profile, found), "profile without columns": (contracts.validate_profile, {k: v for k, v in found.items() if k != "columns"})},

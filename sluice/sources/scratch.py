@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import json
+import os
 import shutil
 import tempfile
 import uuid
@@ -58,6 +59,23 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     out.close()
 
 
+def join_text(spark: SparkSession, folder: str, path: str | os.PathLike) -> None:
+    """The part files of a folder, in their order, as one file on the driver's disk; bytes pass through a small buffer."""
+    where, fs = _path(spark, folder)
+    jvm = spark.sparkContext._jvm
+    parts = sorted((s.getPath() for s in fs.listStatus(where) if s.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    out = jvm.java.io.FileOutputStream(os.path.abspath(path))
+    try:
+        for part in parts:
+            lines = fs.open(part)
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(lines, out, 1 << 16, False)
+            finally:
+                lines.close()
+    finally:
+        out.close()
+
+
 class Scratch:
     """Tables of one run. They stay until ``drop`` or the end of the driver, since a lazy result may still read them."""
 
@@ -87,6 +105,13 @@ class Scratch:
         write_text(self.spark, f"{path}/part.json", "".join(json.dumps(dict(zip(names, r, strict=True))) + "\n" for r in rows))
         return self.save(self.spark.read.schema(schema).json(path), f"{name}-table")
 
+    def put(self, path: str | os.PathLike, name: str) -> str:
+        """A copy of a file on the driver's disk, where executors can read it."""
+        to = self.new_path(name)
+        where, fs = _path(self.spark, to)
+        fs.copyFromLocalFile(_path(self.spark, f"file://{os.path.abspath(path)}")[0], where)
+        return to
+
     def save(self, df: DataFrame, name: str) -> Table:
         path = self.new_path(name)
         df.write.parquet(path)
