@@ -420,9 +420,8 @@ def contract_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the validators say of records as they are made and of records that lack a key."""
     made = _report(spark, sf_dir)
     found = profile.profile(registry._orders(spark, sf_dir, "status"), make_policy(), CLOCK)
-    with tempfile.TemporaryDirectory() as folder:
-        lines = _write_log(spark, sf_dir, folder, "detailed").read_text(encoding="utf-8").splitlines()
-    line = [json.loads(one) for one in lines][0]
+    with tempfile.TemporaryDirectory() as folder, _write_log(spark, sf_dir, folder, "detailed").open(encoding="utf-8") as log:
+        line = json.loads(next(log))
     cases = {
         **{"audit": (contracts.validate_audit_record, line), "audit without reason": (contracts.validate_audit_record, {k: v for k, v in line.items() if k != "reason"})},
         **{"profile": (contracts.validate_profile, found), "profile without columns": (contracts.validate_profile, {k: v for k, v in found.items() if k != "columns"})},

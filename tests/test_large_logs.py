@@ -63,3 +63,9 @@ def test_odd_values_keep_a_log_valid(spark, tmp_path):
         (tmp_path / "b.jsonl").write_text(bad)
         with pytest.raises(ValueError):
             contracts.validate_audit_log(tmp_path / "b.jsonl")
+
+
+def test_contracts_hold_no_log_on_the_driver(spark, many_orders):
+    found, most = _peak(lambda: registry.queries()["contracts"](spark, many_orders))
+    assert most < MOST
+    assert {r["what"] for r in found.collect() if r["valid"]} == {"audit", "profile", "report"}
