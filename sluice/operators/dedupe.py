@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -10,6 +10,10 @@ from sluice.functions.columns import DROPPED, RESERVED, ROW_ID, col, is_number
 from sluice.operators import events
 from sluice.operators.quantiles import quantiles
 from sluice.plans.policy import Policy
+from sluice.sources.scratch import Scratch
+
+#: A number of its own for every row, also where row ids repeat.
+PLACE = "__place"
 
 
 def _mark(df: DataFrame, names: list[str], best: DataFrame, reason: str) -> DataFrame:
@@ -20,42 +24,53 @@ def _mark(df: DataFrame, names: list[str], best: DataFrame, reason: str) -> Data
     for i, n in enumerate(names):
         same = same & left[f"`{n}`"].eqNullSafe(best[f"__k{i}"])
     joined = left.join(best, same, "left").drop("__best_key", "__key", *[f"__k{i}" for i in range(len(names))])
-    other = ~F.col(DROPPED) & F.col("__keep").isNotNull() & (F.col(ROW_ID) != F.col("__keep"))
+    other = ~F.col(DROPPED) & F.col("__keep").isNotNull() & (F.col(PLACE) != F.col("__keep"))
     return events.drop_rows(joined, other, reason, "deduplication").drop("__keep")
 
 
 def _best(df: DataFrame, names: list[str], pick) -> DataFrame:
     rows = df.where(~F.col(DROPPED))
     key = F.xxhash64(*[col(n) for n in names]).alias("__best_key")
-    own = rows.select(key, *[col(n).alias(f"__k{i}") for i, n in enumerate(names)], F.col(ROW_ID).alias("__id"), *pick[1])
+    own = rows.select(key, *[col(n).alias(f"__k{i}") for i, n in enumerate(names)], F.col(ROW_ID).alias("__id"), PLACE, *pick[1])
     grouped = own.groupBy("__best_key", *[f"__k{i}" for i in range(len(names))]).agg(pick[0].alias("__keep"), F.count(F.lit(1)).alias("__n"))
     return grouped.where("__n > 1").drop("__n")
 
 
+def _first(*order: Column) -> Column:
+    """The place of the row that is first by the order, then by row id (null ids last), then by place."""
+    return F.min_by(PLACE, F.struct(*order, F.col("__id").isNull(), F.col("__id"), F.col(PLACE)))
+
+
 def deduplicate(df: DataFrame, policy: Policy) -> DataFrame:
     """Exact duplicates keep their first row; keys keep the first, last, greatest or least row by the policy.
 
-    The row to keep is a partial aggregate over row ids and comes back by a join, so a key with very many rows is
-    no window in one task. Ties in the ordering keep the first row; null orderings are the last choice.
+    The row to keep is a partial aggregate and comes back by a join, so a key with very many rows is no window in one
+    task. Ties in the ordering keep the first row; null orderings are the last choice. Row ids may repeat or be null:
+    rows are told apart by a place of their own, for which they are written once.
     """
     config = policy.deduplication
     if not config.enabled:
         return df
     names = [n for n in df.columns if n not in RESERVED]
-    if config.exact_row_duplicates == "drop" and names:
-        df = _mark(df, names, _best(df, names, (F.min("__id"), [])), "exact_duplicate")
+    exact = config.exact_row_duplicates == "drop" and bool(names)
     keys = [n for n in config.keys if n in df.columns]
-    if not keys or len(keys) < len(config.keys):
+    by_key = bool(keys) and len(keys) == len(config.keys) and (config.strategy in ("keep_first", "keep_last") or config.order_by in df.columns)
+    if not exact and not by_key:
         return df
-    if config.strategy in ("keep_first", "keep_last"):
-        pick = (F.min("__id") if config.strategy == "keep_first" else F.max("__id"), [])
-    else:
-        if config.order_by not in df.columns:
-            return df
-        order = col(config.order_by).alias("__order")
-        marked = F.struct(F.col("__order").isNotNull(), F.col("__order"), -F.col("__id")) if config.strategy == "keep_max" else F.struct(F.col("__order").isNull(), F.col("__order"), F.col("__id"))
-        pick = (F.max_by("__id", marked) if config.strategy == "keep_max" else F.min_by("__id", marked), [order])
-    return _mark(df, keys, _best(df, keys, pick), f"duplicate_key_{config.strategy}")
+    df = Scratch(df.sparkSession, "placed").save(df.withColumn(PLACE, F.monotonically_increasing_id()), "rows").read()
+    if exact:
+        df = _mark(df, names, _best(df, names, (_first(), [])), "exact_duplicate")
+    if by_key:
+        if config.strategy == "keep_first":
+            pick = (_first(), [])
+        elif config.strategy == "keep_last":
+            pick = (F.max_by(PLACE, F.struct(F.col("__id"), -F.col(PLACE))), [])
+        else:
+            order = col(config.order_by).alias("__order")
+            greatest = F.max_by(PLACE, F.struct(F.col("__order").isNotNull(), F.col("__order"), F.col("__id").isNotNull(), -F.col("__id"), -F.col(PLACE)))
+            pick = (greatest if config.strategy == "keep_max" else _first(F.col("__order").isNull(), F.col("__order")), [order])
+        df = _mark(df, keys, _best(df, keys, pick), f"duplicate_key_{config.strategy}")
+    return df.drop(PLACE)
 
 
 def ranked(df: DataFrame, keys: list[str], order: str = ROW_ID) -> DataFrame:
