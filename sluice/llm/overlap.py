@@ -1,4 +1,5 @@
-"""Near-duplicate groups by shared word shingles: MinHash bands find candidates, exact Jaccard similarity links them."""
+"""Near-duplicate groups by shared word shingles: SimHash fingerprints and, for pairs further apart, MinHash bands find
+candidates; exact Jaccard similarity links them."""
 
 from __future__ import annotations
 
@@ -44,23 +45,25 @@ def _mark(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), simhash.HASH_SEED)).view(np.int64))
 
 
-def band_keys(hashes: np.ndarray) -> list[int]:
-    """A key for each band of the set's MinHash signature; none for an empty set."""
-    if not len(hashes):
+def band_keys(hashes: np.ndarray, bands: int = BANDS) -> list[int]:
+    """A key for each of the first bands of the set's MinHash signature; none for an empty set."""
+    if not len(hashes) or not bands:
         return []
     low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), _CHUNK):
         low = np.minimum(low, ((hashes[at : at + _CHUNK, None] ^ _MASKS) * _FACTORS).min(axis=0))
     low = low.reshape(BANDS, ROWS)
-    return [int(np.uint64(xxhash.xxh64_intdigest(low[b].tobytes(), b)).view(np.int64)) for b in range(BANDS)]
+    return [int(np.uint64(xxhash.xxh64_intdigest(low[b].tobytes(), b)).view(np.int64)) for b in range(bands)]
 
 
-def _marked(n: int):
+def _marked(n: int, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(t.as_py() or b"", n) for t in batch.column(1)]
-            keys = pa.array([band_keys(s) for s in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_mark(s) for s in found], pa.int64()), keys], names=["id", "fp", "keys"])
+            texts = batch.column(1)
+            found = [shingles(t.as_py() or b"", n) for t in texts]
+            prints = np.fromiter((simhash.fingerprint(t.as_py() or b"", n) for t in texts), np.uint64, batch.num_rows)
+            keys = pa.array([band_keys(s, bands) for s in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_mark(s) for s in found], pa.int64()), pa.array(prints.view(np.int64)), keys], names=["id", "fp", "print", "keys"])
 
     return run
 
@@ -130,13 +133,24 @@ def _verify(similarity: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE_WORDS, similarity: float = SIMILARITY, block: int = simhash.BLOCK) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    n: int = SHINGLE_WORDS,
+    similarity: float = SIMILARITY,
+    block: int = simhash.BLOCK,
+    distance: int = simhash.MAX_DISTANCE,
+    bands: int = BANDS,
+) -> DataFrame:
     """Rows (id, fp, component_id, root) as those of ``simhash.near_duplicates``; fp is a hash of the set of shingles.
 
     Documents are linked when the Jaccard similarity of their sets of n-word shingles is at least ``similarity``;
-    groups are the connected components. Equal sets meet first. Different ones meet in the buckets of the bands of their
-    MinHash signatures; of buckets with the same members one is compared, inside Arrow functions that return spanning
-    links only, in blocks of a fixed size. Candidates come with a probability, links are exact.
+    groups are the connected components. Equal sets meet first. Different ones meet where chains of SimHash fingerprints
+    within ``distance`` bits join them, found by multi-index hashing as in ``simhash``, and in the buckets of the first
+    ``bands`` bands of their MinHash signatures, since most pairs of that similarity have fingerprints further apart; of
+    buckets with the same members one is compared, inside Arrow functions that return spanning links only, in blocks of a
+    fixed size. Candidates by bands come with a probability, links are exact.
 
     Null text: no words; texts without words are one group. Null and repeated ids are as in ``simhash.near_duplicates``.
     """
@@ -144,15 +158,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     importable(spark)
     scratch = Scratch(spark, "overlap")
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("binary").alias("text"))
-    marked = scratch.save(texts.mapInArrow(_marked(n), "id long, fp long, keys array<long>"), "marked")
+    marked = scratch.save(texts.mapInArrow(_marked(n, bands), "id long, fp long, print long, keys array<long>"), "marked")
     reps = scratch.save(marked.read().groupBy("fp").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")), "reps")
-    groups = _link(texts, reps, scratch, n, similarity, block)
+    groups = _link(texts, reps, _print_keys(marked, scratch, distance, block), scratch, n, similarity, block)
     return simhash.named(marked, reps, groups, scratch)
 
 
-def _link(texts: DataFrame, reps: Table, scratch: Scratch, n: int, similarity: float, block: int) -> Table:
+def _print_keys(marked: Table, scratch: Scratch, distance: int, block: int) -> DataFrame:
+    """Rows (fp, key): a key for each component of fingerprints within the distance that a set's documents are in."""
+    own = marked.read().select("fp", "print").distinct()
+    prints = scratch.save(own.select(F.col("print").alias("fp")).distinct(), "prints")
+    linked = simhash._link(prints, scratch, distance, None, block).read().select(F.col("u").alias("print"), F.col("v").alias("root"))
+    found = own.join(linked, "print", "left")
+    return found.select("fp", F.xxhash64(F.lit("print"), F.coalesce("root", "print")).alias("key")).distinct()
+
+
+def _link(texts: DataFrame, reps: Table, more: DataFrame, scratch: Scratch, n: int, similarity: float, block: int) -> Table:
     spark = reps.spark
-    entries = reps.read().select("fp", F.explode("keys").alias("key"))
+    entries = reps.read().select("fp", F.explode("keys").alias("key")).unionByName(scratch.save(more, "print-keys").read())
     # a pair shares most of its bands: of all buckets with the same members one is enough
     same = (F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.sum(F.xxhash64("fp", F.lit(1)).bitwiseAND(0xFFFFFFFFFF)).alias("s"))
     chosen = entries.groupBy("key").agg(*same).where("n > 1").groupBy("n", "x", "s").agg(F.min("key").alias("key"))
