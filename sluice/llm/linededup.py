@@ -34,12 +34,10 @@ def allowed(length: Column, edits: int = EDITS, chars_an_edit: int = CHARS_AN_ED
     return F.least(F.lit(edits), F.floor(length / F.lit(chars_an_edit)).cast("int"))
 
 
-def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """(first character from 1, characters) of segment ``i`` of a line of that length cut into edits + 1 even segments."""
-    n = edits + 1
-    base, longer = F.floor(length / n).cast("int"), F.pmod(length, F.lit(n)).cast("int")
-    first = base * i + F.greatest(F.lit(0), i - (n - longer)) + 1
-    return first, base + F.when(F.lit(i) >= n - longer, 1).otherwise(0)
+def _cut(length: Column, i: int, edits: int | Column) -> Column:
+    """Characters before segment ``i`` of a line of that length cut into edits + 1 even segments."""
+    parts = F.lit(edits + 1) if isinstance(edits, int) else edits + 1
+    return F.call_function("div", length.cast("long") * i, parts).cast("int")
 
 
 def _shifts(i: int, less: int, edits: int) -> range:
@@ -54,7 +52,8 @@ def _probes(length: Column, target: Column, less: int, edits: int) -> list[tuple
     """
     out = []
     for i in range(edits + 1):
-        first, n = _segment(target, i, edits)
+        first = _cut(target, i, edits) + 1
+        n = _cut(target, i + 1, edits) + 1 - first
         for shift in _shifts(i, less, edits):
             start = first + shift
             out.append((i, less == 0 and shift == 0, start, n, (start >= 1) & (start + n - 1 <= length)))
@@ -65,30 +64,52 @@ def _key(parent: Column, target: Column, i: int, text: Column) -> Column:
     return F.xxhash64(parent, target.cast("int"), F.lit(i), text)
 
 
-def _line_probes(line: Column, edits: int, chars_an_edit: int) -> list[tuple[Column, bool, Column, Column, Column, int, Column]]:
-    """(fits, home, key, start, n, edits, target) of a line's own segments, and of its probes for lines as long or shorter."""
+def _sized(lines: DataFrame, edits: int, chars_an_edit: int) -> DataFrame:
+    """Rows (line_id, line, length, edits0.., cut0_1..) of lines.
+
+    For lines as long or ``less`` characters shorter, ``edits<less>`` are the edits that may lie between, and
+    ``cut<less>_<i>`` the characters before segment ``i`` there. As columns they are computed once, not in every key.
+    """
+    sized = lines.select(_line_id(F.col("line")).alias("line_id"), "line", F.length("line").alias("length"))
+    whole = [F.greatest(F.col("length") - less, F.lit(0)) for less in range(edits + 1)]
+    sized = sized.select("*", *[allowed(n, edits, chars_an_edit).alias(f"edits{less}") for less, n in enumerate(whole)])
+    return sized.select("*", *[_cut(n, i, F.col(f"edits{less}")).alias(f"cut{less}_{i}") for less, n in enumerate(whole) for i in range(edits + 2)])
+
+
+def _piece(start: Column, n: Column) -> Column:
+    """Bytes of a substring of a line. Characters are counted only where some take more bytes than one."""
+    plain = F.octet_length("line") == F.col("length")
+    return F.when(plain, F.substring(F.col("line").cast("binary"), start, n)).otherwise(F.substring("line", start, n).cast("binary"))
+
+
+def _line_probes(edits: int) -> list[tuple[int, bool, Column, Column, Column, Column]]:
+    """(less, home, fits, key, start, n) of the own segments of a sized line, and of its probes for lines as long or ``less`` characters shorter.
+
+    Fewer edits have some of the same segments and shifts. Of two lines of one length either can find the other. Up to two
+    edits, shifts to the right are enough for that: lines that differ in their first and in their last segments have one
+    insertion and one deletion there, and the middle segment of each lies one character further right, or of each
+    one further left, in the other.
+    """
     out = []
     for less in range(edits + 1):
-        target = F.length(line) - less
-        for t in range(max(1, less), edits + 1):
-            fits = (target >= 1) & (allowed(target, edits, chars_an_edit) == t)
-            for i, home, start, n, inside in _probes(F.length(line), target, less, t):
-                out.append((fits & inside, home, _key(F.lit(0).cast("long"), target, i, F.substring(line, start, n)), start, n, t, target))
+        target, t = F.col("length") - less, F.col(f"edits{less}")
+        for i in range(edits + 1):
+            start, end = F.col(f"cut{less}_{i}"), F.col(f"cut{less}_{i + 1}")
+            for shift in _shifts(i, less, edits):
+                least = next(e for e in range(max(i, less, 1), edits + 1) if shift in _shifts(i, less, e))
+                if less == 0 and shift < 0 and edits <= 2:
+                    continue
+                inside = (t >= least) & (start + shift >= 0) & (end + shift <= F.col("length"))
+                n, first = end - start, start + (shift + 1)
+                out.append((less, less == 0 and shift == 0, inside, _key(F.lit(0).cast("long"), target, i, _piece(first, n)), first, n))
     return out
 
 
-def _line_keys(line: Column, edits: int, chars_an_edit: int) -> tuple[Column, Column]:
-    """(keys of a line's own segments, keys of its probes), null where there is none."""
-    probes = _line_probes(line, edits, chars_an_edit)
-    home, other = ([F.when(fits, key) for fits, own, key, *_ in probes if own is wanted] for wanted in (True, False))
-    return F.array(*home), F.array(*other)
-
-
-def _line_entries(line: Column, edits: int, chars_an_edit: int) -> Column:
-    """The entries (key, home, start, n, edits, rest_chars) of a line."""
+def _line_entries(edits: int) -> Column:
+    """The entries (key, home, start, n, edits, rest_chars) of a sized line."""
     made = [
-        F.when(fits, F.struct(key.alias("key"), F.lit(home).alias("home"), start.alias("start"), n.alias("n"), F.lit(t).alias("edits"), (target - n).alias("rest_chars")))
-        for fits, home, key, start, n, t, target in _line_probes(line, edits, chars_an_edit)
+        F.when(fits, F.struct(key.alias("key"), F.lit(home).alias("home"), start.alias("start"), n.alias("n"), F.col(f"edits{less}").alias("edits"), (F.col("length") - less - n).alias("rest_chars")))
+        for less, home, fits, key, start, n in _line_probes(edits)
     ]
     return F.array_compact(F.array(*made))
 
@@ -183,7 +204,7 @@ def _line_id(line: Column) -> Column:
 
 def _letters(line: Column) -> list[Column]:
     """How often each letter and all else occur: an edit changes the sum of these counts' differences by two at most."""
-    plain = [(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).alias(f"n{i}") for i, c in enumerate(_ALPHABET)]
+    plain = [(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).alias(f"n{i}") for i, c in enumerate(_ALPHABET)]
     return [*plain, F.length(F.translate(line, _ALPHABET, "")).alias(f"n{len(_ALPHABET)}")]
 
 
@@ -236,21 +257,25 @@ def _refined(entries: DataFrame, scratch: Scratch, edits: int) -> tuple[list[Dat
 
 def _candidates(lines: DataFrame, scratch: Scratch, edits: int, chars_an_edit: int) -> tuple[DataFrame, Table | None]:
     """(entries (key, line_id, home) of keys that different lines share, one of them by its own segment; links that need no pair, if any)."""
-    home, other = _line_keys(F.col("line"), edits, chars_an_edit)
-    unique = lines.select(_line_id(F.col("line")).alias("line_id"), home.alias("own"), other.alias("probe")).groupBy("line_id").agg(F.first("own").alias("own"), F.first("probe").alias("probe"))
-    unique = scratch.save(unique, "lines").read()
-    marked = F.concat(F.transform("own", lambda k: F.struct(k.alias("key"), F.lit(True).alias("home"))), F.transform("probe", lambda k: F.struct(k.alias("key"), F.lit(False).alias("home"))))
-    unique = unique.select("line_id", F.explode_outer(marked).alias("e")).select("line_id", "e.key", "e.home").where("key is not null")
-    mark = F.xxhash64("line_id")
-    shared = unique.groupBy("key").agg(F.min(mark).alias("low"), F.max(mark).alias("high"), F.max("home").alias("any_home"), F.count(F.lit(1)).alias("n"))
-    shared = scratch.save(shared.where("any_home and low <> high").select("key", "n"), "keys")
-    cold = unique.join(shared.fitting().where(F.col("n") <= HOT).select("key"), "key").distinct()
+    probes = sorted(_line_probes(edits), key=lambda p: not p[1])
+    # _let keeps Spark from making one method of this projection, which would be too long for the JVM to compile
+    line_id = _let(F.col("line_id"), lambda x: x).alias("line_id")
+    keyed = _sized(lines, edits, chars_an_edit).select(line_id, *[F.when(fits, key).alias(f"k{j}") for j, (_, _, fits, key, _, _) in enumerate(probes)])
+    # equal lines have equal keys; a maximum of numbers, unlike arrays, needs no sort
+    keyed = keyed.groupBy("line_id").agg(*[F.max(f"k{j}").alias(f"k{j}") for j in range(len(probes))])
+    own, other = (F.array(*[f"k{j}" for j, p in enumerate(probes) if p[1] is home]) for home in (True, False))
+    unique = scratch.save(keyed.select("line_id", F.concat(own, F.array_except(other, own)).alias("keys")), "lines").read()
+    # a line has a key once, so keys with two rows have two lines
+    unique = unique.select("line_id", F.posexplode("keys").alias("at", "key")).where("key is not null").select("line_id", "key", (F.col("at") <= edits).alias("home"))
+    shared = unique.groupBy("key").agg(F.max("home").alias("any_home"), F.count(F.lit(1)).alias("n"))
+    shared = scratch.save(shared.where("any_home and n > 1").select("key", "n"), "keys")
+    cold = unique.join(shared.fitting().where(F.col("n") <= HOT).select("key"), "key")
     hot = shared.fitting().where(F.col("n") > HOT).select("key")
     if hot.isEmpty():
         return scratch.save(cold, "candidates").read(), None
     needed = scratch.save(unique.join(hot, "key", "left_semi").select("line_id").distinct(), "hot-lines")
     texts = lines.select(_line_id(F.col("line")).alias("line_id"), "line").join(needed.fitting(), "line_id", "left_semi").groupBy("line_id").agg(F.first("line").alias("line"))
-    parts = texts.select("line_id", "line", F.explode(_line_entries(F.col("line"), edits, chars_an_edit)).alias("e"))
+    parts = _sized(texts.select("line"), edits, chars_an_edit).select("line_id", "line", F.explode(_line_entries(edits)).alias("e"))
     rest = F.concat(F.left("line", F.col("e.start") - 1), F.substr("line", F.col("e.start") + F.col("e.n")))
     parts = parts.select("e.key", "line_id", "e.home", "e.edits", "e.rest_chars", rest.alias("rest")).join(hot, "key", "left_semi").distinct()
     ready, links = _refined(scratch.save(parts, "hot-entries").read(), scratch, edits)
@@ -294,13 +319,14 @@ def links(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: s
     links join already are not paired again. Only lines that share a key get their texts and letter counts, and pairs
     whose counts differ too much never leave the join.
     """
-    lines = _lines(docs, id_col, text_col).select("line").where(F.length("line") >= chars_an_edit)
+    # bytes are no fewer than characters, and need no look at the line
+    lines = _lines(docs, id_col, text_col).select("line").where(F.octet_length("line") >= chars_an_edit)
     found, stars = _candidates(lines, scratch, edits, chars_an_edit)
     found = _unjoined(found, stars, scratch) if stars else found.withColumn("class", F.col("line_id"))
     needed = scratch.save(found.select("line_id").distinct(), "needed")
     texts = lines.select(_line_id(F.col("line")).alias("line_id"), "line").join(needed.fitting(), "line_id", "left_semi")
     texts = scratch.save(texts.groupBy("line_id").agg(F.first("line").alias("line")), "texts").read()
-    counts = texts.select("line_id", F.length("line").alias("length"), *_letters(F.col("line")))
+    counts = scratch.save(texts.select("line_id", F.length("line").alias("length"), *_letters(F.col("line"))), "counts").read()
     names = ["class", "length", *[f"n{i}" for i in range(len(_ALPHABET) + 1)]]
     home, every = _dealt(found.join(counts, "line_id"), scratch, stars is not None)
     one = home.select("key", "block", F.col("line_id").alias("u"), *[F.col(n).alias(f"u_{n}") for n in names])
