@@ -86,9 +86,9 @@ def _line_probes(edits: int) -> list[tuple[int, bool, Column, Column, Column, Co
     """(less, home, fits, key, start, n) of the own segments of a sized line, and of its probes for lines as long or ``less`` characters shorter.
 
     Fewer edits have some of the same segments and shifts. Of two lines of one length either can find the other. Up to two
-    edits, shifts to the right are enough for that: lines that differ in their first and in their last segments have one
-    insertion and one deletion there, and the middle segment of each lies one character further right, or of each
-    one further left, in the other.
+    edits, shifts to the right are enough for that: if no segment is the same at its own place in both lines, there is an
+    insertion on one side of the middle segment and a deletion on the other, and the middle segment of one of the lines
+    lies one character further right in the other.
     """
     out = []
     for less in range(edits + 1):
