@@ -23,26 +23,28 @@ def neighbours(line, letters):
             yield from (line[:i] + c + line[i + 1 :] for c in letters)
 
 
-@pytest.mark.parametrize("chars_an_edit", [1, 2, 4])
-def test_all_near_lines_share_a_key(spark, monkeypatch, chars_an_edit):
+@pytest.mark.parametrize(("edits", "chars_an_edit"), [(2, 1), (2, 2), (2, 4), (1, 2), (3, 1), (3, 2)])
+def test_all_near_lines_share_a_key(spark, monkeypatch, edits, chars_an_edit):
     monkeypatch.setattr(linededup, "HOT", 1 << 30)
     lines = ["".join(p) for n in range(1, 10) for p in itertools.product("aé", repeat=n)]
     table = spark.createDataFrame([(t,) for t in lines], "line string")
     ids = {r["line"]: bytes(r["id"]) for r in table.select("line", linededup._line_id(F.col("line")).alias("id")).collect()}
     homes, every = defaultdict(set), defaultdict(set)
-    found, _ = linededup._candidates(table, Scratch(spark, "keys"), 2, chars_an_edit)
+    found, _ = linededup._candidates(table, Scratch(spark, "keys"), edits, chars_an_edit)
     for r in found.collect():
         every[bytes(r["line_id"])].add(r["key"])
         if r["home"]:
             homes[bytes(r["line_id"])].add(r["key"])
     checked = 0
     for a in lines:
-        one = set(neighbours(a, "aé"))
-        two = {b for m in one for b in neighbours(m, "aé")} | one
-        for b in two - {a}:
-            if b in ids and (1 if b in one else 2) <= min(len(a), len(b)) // chars_an_edit:
-                checked += 1
-                assert homes[ids[a]] & every[ids[b]] or every[ids[a]] & homes[ids[b]], (a, b)
+        seen, last = {a}, {a}
+        for apart in range(1, edits + 1):
+            last = {b for m in last for b in neighbours(m, "aé")} - seen
+            seen |= last
+            for b in last & ids.keys():
+                if apart <= min(len(a), len(b)) // chars_an_edit:
+                    checked += 1
+                    assert homes[ids[a]] & every[ids[b]] or every[ids[a]] & homes[ids[b]], (a, b)
     assert checked > 1000
 
 
